@@ -23,5 +23,34 @@ SELECT doc_id,
 FROM documents
 """
 
-QUERIES = {"op5_exact_dedup": op5_exact_dedup}
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from findoc.llm.packing import pack
+    from findoc.llm.tokens import vocabulary
+
+    return pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from findoc.llm.secrets import scan_secrets
+
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from findoc.llm.fitting import fold
+    from findoc.llm.toxicity import score_toxicity, train_toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    scored = score_toxicity(docs, train_toxicity(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", "predicted")
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from findoc.llm.mixing import mix
+
+    mixed = mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"))
+
+
+QUERIES = {"op2_best_fit_packing": op2_best_fit_packing, "op3_secret_scan": op3_secret_scan, "op5_exact_dedup": op5_exact_dedup, "op7_toxicity": op7_toxicity, "op8_mixing": op8_mixing}
 ORACLES = {"op5_exact_dedup": OP5_SQL}
