@@ -14,7 +14,7 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from findoc.llm.common import join_counted, shared_dir
+from findoc.llm.common import join_counted, maybe_in, shared_dir
 
 _FILTER = {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.max.bytes": "262144"}
 
@@ -88,7 +88,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     index.flush(rows.select("digest", "id"))
     view = index.compact()
     shared = view.where("n > 1").withColumnsRenamed({"keep_id": "_keep", "n": "_n"})
-    hits = join_counted(rows.select("digest", "text", "id"), shared.select("digest", "_n"), "digest", "_n", "inner")
+    hits = maybe_in(rows.select("digest", "text", "id"), shared, "digest")
     # the bytes decide: texts of one digest that are equal fold into one row before they are shuffled
     classes = hits.groupBy("digest", "text").agg(index.best("id").alias("_text_keep"), F.count(F.lit(1)).alias("_text_n"))
     clash = classes.groupBy("digest").count().where("count > 1").select("digest")
