@@ -14,6 +14,12 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from findoc.llm.jaccard import jaccard_join
+
+    return jaccard_join(table(spark, sf_dir, "documents"))
+
+
 OP5_SQL = """
 SELECT doc_id,
        max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,
@@ -52,5 +58,5 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"))
 
 
-QUERIES = {"op2_best_fit_packing": op2_best_fit_packing, "op3_secret_scan": op3_secret_scan, "op5_exact_dedup": op5_exact_dedup, "op7_toxicity": op7_toxicity, "op8_mixing": op8_mixing}
+QUERIES = {"op2_best_fit_packing": op2_best_fit_packing, "op3_secret_scan": op3_secret_scan, "op4_ngram_jaccard": op4_ngram_jaccard, "op5_exact_dedup": op5_exact_dedup, "op7_toxicity": op7_toxicity, "op8_mixing": op8_mixing}
 ORACLES = {"op5_exact_dedup": OP5_SQL}
