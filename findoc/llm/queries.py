@@ -29,6 +29,27 @@ SELECT doc_id,
 FROM documents
 """
 
+def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from findoc.llm.topk import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
+OP1_SQL = """
+WITH e AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM e AS q JOIN e AS c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+WHERE rank <= 20
+"""
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from findoc.llm.packing import pack
     from findoc.llm.tokens import vocabulary
@@ -58,5 +79,5 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"))
 
 
-QUERIES = {"op2_best_fit_packing": op2_best_fit_packing, "op3_secret_scan": op3_secret_scan, "op4_ngram_jaccard": op4_ngram_jaccard, "op5_exact_dedup": op5_exact_dedup, "op7_toxicity": op7_toxicity, "op8_mixing": op8_mixing}
-ORACLES = {"op5_exact_dedup": OP5_SQL}
+QUERIES = {"op1_topk_search": op1_topk_search, "op2_best_fit_packing": op2_best_fit_packing, "op3_secret_scan": op3_secret_scan, "op4_ngram_jaccard": op4_ngram_jaccard, "op5_exact_dedup": op5_exact_dedup, "op7_toxicity": op7_toxicity, "op8_mixing": op8_mixing}
+ORACLES = {"op1_topk_search": OP1_SQL, "op5_exact_dedup": OP5_SQL}
