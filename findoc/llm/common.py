@@ -57,18 +57,31 @@ def join_counted(left: DataFrame, index: DataFrame, key: str, count: str, how: s
     return there.unionByName(tagged.where(F.col("_hot").isNull()).drop("_hot").join(cold, key, how))
 
 
-def maybe_in(rows: DataFrame, shared: DataFrame, key: str, buckets: int = 1024) -> DataFrame:
-    """The rows whose ``key`` is in ``shared``, and few others.
+def _marked(rows: DataFrame, shared: DataFrame, key: str, buckets: int = 1024) -> DataFrame:
+    """``rows`` with ``_maybe``: true where ``key`` is in ``shared``, and for few others.
 
     The filter has ``buckets`` bitmaps of 4 KiB (32,768 bits) each, so what is broadcast has a fixed size; where it fills
-    up, more rows pass, which costs work but changes no result.
+    up, more rows are marked, which costs work but changes no result.
     """
     hashed = F.xxhash64(key)
     bucket, bit = F.pmod(hashed, F.lit(buckets)), F.pmod(F.shiftright(hashed, 20), F.lit(32768))
     bitmaps = shared.select(bucket.alias("_bucket"), bit.alias("_bit")).groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
     byte = F.conv(F.hex(F.substring("_bits", (F.col("_bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    there = F.getbit(byte, F.pmod("_bit", F.lit(8)).cast("int"))
-    return rows.withColumns({"_bucket": bucket, "_bit": bit}).join(F.broadcast(bitmaps), "_bucket").where(there == 1).select(*rows.columns)
+    there = F.coalesce(F.getbit(byte, F.pmod("_bit", F.lit(8)).cast("int")) == 1, F.lit(False))
+    return rows.withColumns({"_bucket": bucket, "_bit": bit}).join(F.broadcast(bitmaps), "_bucket", "left").select(*rows.columns, there.alias("_maybe"))
+
+
+def maybe_in(rows: DataFrame, shared: DataFrame, key: str) -> DataFrame:
+    """The rows whose ``key`` is in ``shared``, and few others: what is left to shuffle."""
+    return _marked(rows, shared, key).where("_maybe").drop("_maybe")
+
+
+def without(rows: DataFrame, dropped: DataFrame, key: str) -> DataFrame:
+    """The rows whose ``key`` is not in ``dropped``; null keys stay. Only rows that pass the filter are shuffled."""
+    dropped = dropped.where(F.col(key).isNotNull()).select(key)
+    marked = _marked(rows, dropped, key)
+    sure = marked.where(~F.col("_maybe")).drop("_maybe")
+    return sure.unionByName(marked.where("_maybe").drop("_maybe").join(dropped, key, "left_anti"))
 
 
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:

@@ -63,6 +63,15 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from findoc.llm.fitting import fold
+    from findoc.llm.quality import score_quality, train_quality
+
+    docs = table(spark, sf_dir, "documents")
+    scored = score_quality(docs, train_quality(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from findoc.llm.fitting import fold
     from findoc.llm.toxicity import score_toxicity, train_toxicity
@@ -79,5 +88,31 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"))
 
 
-QUERIES = {"op1_topk_search": op1_topk_search, "op2_best_fit_packing": op2_best_fit_packing, "op3_secret_scan": op3_secret_scan, "op4_ngram_jaccard": op4_ngram_jaccard, "op5_exact_dedup": op5_exact_dedup, "op7_toxicity": op7_toxicity, "op8_mixing": op8_mixing}
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from findoc.llm.fitting import fold
+    from findoc.llm.langid import identify_language, train_language
+
+    docs = table(spark, sf_dir, "documents")
+    found = identify_language(docs, train_language(docs))
+    return found.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from findoc.llm.licenses import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op1_topk_search": op1_topk_search,
+    "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_secret_scan": op3_secret_scan,
+    "op4_ngram_jaccard": op4_ngram_jaccard,
+    "op5_exact_dedup": op5_exact_dedup,
+    "op6_quality": op6_quality,
+    "op7_toxicity": op7_toxicity,
+    "op8_mixing": op8_mixing,
+    "op9_language_id": op9_language_id,
+    "op10_license_scan": op10_license_scan,
+}
 ORACLES = {"op1_topk_search": OP1_SQL, "op5_exact_dedup": OP5_SQL}

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from findoc.llm.common import map_batches
 from findoc.llm.fitting import bounded_sample, fold
+from findoc.llm.ngrams import chunks, ngram_buckets
 
 #: n-grams are hashed into 2 ** BITS buckets.
 BITS = 20
@@ -23,30 +24,6 @@ BITS = 20
 TOGETHER = 400_000
 
 
-def _chunks(texts: list[str]):
-    start = size = 0
-    for k, text in enumerate(texts):
-        if size and size + len(text) > TOGETHER:
-            yield start, texts[start:k]
-            start, size = k, 0
-        size += len(text)
-    if start < len(texts):
-        yield start, texts[start:]
-
-
-def ngram_buckets(texts: list[str], orders: tuple[int, ...]):
-    """For each order: the bucket of the n-gram at every position, and each position's text. A NUL parts texts."""
-    points = np.frombuffer("".join(f" {t.lower().replace(chr(0), ' ')} \0" for t in texts).encode("utf-32-le", "replace"), dtype=np.uint32)
-    owner = np.cumsum(np.concatenate(([0], points[:-1] == 0)), dtype=np.int64)
-    value = points * np.uint32(2654435761)
-    for n in range(1, max(orders) + 1):
-        if n > 1:
-            value = value[: len(points) - n + 1] * np.uint32(0x9E3779B1) + points[n - 1 :] * np.uint32(0x85EBCA77)
-            value ^= value >> np.uint32(15)
-        if n in orders and len(value):
-            yield ((value * np.uint32(0xC2B2AE3D)) >> np.uint32(32 - BITS)), owner[: len(value)]
-
-
 @dataclass
 class ToxicityModel:
     """``slot`` maps a bucket to its feature or -1; ``weights`` hold ratio times coefficient."""
@@ -59,7 +36,7 @@ class ToxicityModel:
     def presences(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(text, feature) of every feature that a text holds, once each."""
         size, keys = max(1, len(self.weights)), []
-        for buckets, owner in ngram_buckets(texts, self.orders):
+        for buckets, owner in ngram_buckets(texts, self.orders, BITS):
             feature = self.slot[buckets]
             there = np.flatnonzero(feature >= 0)
             keys.append(np.unique(owner[there] * size + feature[there]))
@@ -68,7 +45,7 @@ class ToxicityModel:
 
     def score(self, texts: list[str]) -> np.ndarray:
         out = np.empty(len(texts))
-        for start, part in _chunks(texts):
+        for start, part in chunks(texts, TOGETHER):
             text, feature = self.presences(part)
             z = self.bias + (np.bincount(text, self.weights[feature], minlength=len(part)) if len(text) else np.zeros(len(part)))
             out[start : start + len(part)] = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
@@ -85,7 +62,7 @@ def fit_texts(texts: list[str], labels: np.ndarray, orders: tuple[int, ...] = (3
         return ToxicityModel(orders, slot, np.zeros(0), float(np.log(share / (1 - share))))
     counts = np.zeros((2, 1 << BITS))
     for text, label in zip(texts, labels, strict=True):
-        own = [b for b, _ in ngram_buckets([text], orders)]
+        own = [b for b, _ in ngram_buckets([text], orders, BITS)]
         counts[int(label), np.unique(np.concatenate(own))] += 1
     p, q = (counts[1] + smoothing) / (toxic + 2 * smoothing), (counts[0] + smoothing) / (n - toxic + 2 * smoothing)
     both = (counts.sum(axis=0) + smoothing) / (n + 2 * smoothing)
@@ -97,7 +74,7 @@ def fit_texts(texts: list[str], labels: np.ndarray, orders: tuple[int, ...] = (3
     model = ToxicityModel(orders, slot, ratio, 0.0)
     x = np.zeros((n, len(chosen) + 1), dtype=np.float32)
     x[:, -1] = 1
-    for start, part in _chunks(texts):
+    for start, part in chunks(texts, TOGETHER):
         text, feature = model.presences(part)
         x[start + text, feature] = ratio[feature]
     w = np.zeros(x.shape[1])
