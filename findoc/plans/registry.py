@@ -1,7 +1,10 @@
-"""Queries of the engine's own operators, and the SQL that their results are held against."""
+"""All queries of the engine's own operators, and the SQL that their results are held against."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-FLAGSHIP = ""
+from findoc.plans import search  # noqa: F401
+from findoc.plans.base import ORACLES, QUERIES
+
+FLAGSHIP = "rerank_hybrid"
+
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
