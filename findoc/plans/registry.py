@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from findoc.plans import search  # noqa: F401
+from findoc.plans import search, statements, text  # noqa: F401
 from findoc.plans.base import ORACLES, QUERIES
 
 FLAGSHIP = "rerank_hybrid"
