@@ -4,12 +4,13 @@ Every text is a set of distinct word shingles, held as 64-bit hashes. Sets are s
 first, that follows counts over all documents in a sketch of fixed size (the order decides the work, never the result).
 If two sets of sizes x and y link, the first ``x - ceil(t x) + l`` and ``y - ceil(t y) + l`` shingles of theirs share at
 least l. Each document picks its own l: a longer prefix costs more postings but asks for more shared shingles before a
-pair is verified; the cheaper choice by the sketch's counts is taken. A pair must share min(l, l') shingles within both
-prefixes of that l.
+pair is verified; the cheaper choice by the sketch's counts is taken. A pair of sizes x and y needs an overlap of
+o = ceil(t (x + y) / (1 + t)), so of its shared shingles only those count that stand among the first x - o + l and
+y - o + l, and with the smaller l of the two there must be l of them.
 
 Equal sets fold into one class first. Pairs are then found in two phases, so that a group of n near copies costs about n
-verifications, not n squared: first each member of a shingle's list is verified against the list's least member only and
-components are formed; then the lists that still hold two components or more give every pair of different components
+verifications, not n squared: first each member of a shingle's list is verified against one head of the list, the member
+whose own prefix holds the largest share of shingles that others hold too, and components are formed; then the lists that still hold two components or more give every pair of different components
 that shares enough. The second phase is exact: a link between components is a pair that it verifies.
 """
 
@@ -19,15 +20,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from findoc.llm.common import BATCH_ROWS, map_batches, maybe_in, written
 from findoc.llm.components import components
 from findoc.llm.shingles import mixed, shingles
 
-#: Counters of the sketch that orders shingles (4 MB) and how many of them make a row.
-COUNTERS, CHUNK = 1 << 20, 1 << 12
+#: Counters of the sketch that orders shingles (8 MB), its bits, and how many counters make a row.
+BITS = 21
+COUNTERS, CHUNK = 1 << BITS, 1 << 13
 #: Longest extra prefix, and what a verification costs in postings.
 MOST_MATCHES, VERIFY = 4, 20
 #: A shingle's list is dealt into salted parts of about this many rows, or 1 / 512 of all documents.
@@ -53,21 +55,24 @@ def describe(docs: DataFrame, width: int) -> DataFrame:
     names = ["doc_id", "n", "s1", "s2", "chunk", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, id_type = np.zeros(COUNTERS, dtype=np.uint32), None
+        counts, id_type, seen = np.zeros(COUNTERS, dtype=np.uint32), None, set()
         for batch in batches:
             n, one, two = [], [], []
             for text in batch.column(1).to_pylist():
                 tokens = shingles(text, width)
-                np.add.at(counts, (tokens >> np.uint64(44)).astype(np.int64), np.uint32(1))
                 n.append(len(tokens))
                 s = signature(tokens)
+                if s not in seen:
+                    seen.add(s)
+                    np.add.at(counts, (tokens >> np.uint64(64 - BITS)).astype(np.int64), np.uint32(1))
                 one.append(s[0])
                 two.append(s[1])
             id_type = batch.column(0).type
             empty = pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), *empty], names)
         for k in np.flatnonzero(counts.reshape(-1, CHUNK).any(axis=1)):
-            part = counts[k * CHUNK : (k + 1) * CHUNK].astype("<u4").tobytes()
+            part = counts[k * CHUNK : (k + 1) * CHUNK]
+            part = part.astype("<u2" if part.max() < 1 << 16 else "<u4").tobytes()
             yield pa.RecordBatch.from_arrays([pa.nulls(1, id_type), *(pa.nulls(1, pa.int64()) for _ in range(3)), pa.array([k], pa.int32()), pa.array([part], pa.binary())], names)
 
     return docs.mapInArrow(run, f"doc_id {kind}, n long, s1 long, s2 long, chunk int, counts binary")
@@ -80,7 +85,7 @@ def sketch(described: DataFrame) -> np.ndarray:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                sums[k] = sums.get(k, 0) + np.frombuffer(part, dtype="<u4").astype(np.uint64)
+                sums[k] = sums.get(k, 0) + np.frombuffer(part, dtype="<u2" if len(part) == 2 * CHUNK else "<u4").astype(np.uint64)
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.astype("<u8").tobytes() for v in sums.values()], pa.binary())], ["chunk", "counts"])
 
@@ -104,7 +109,7 @@ def choose_matches(frequency: np.ndarray, base: int, most: int) -> int:
 
 
 def postings(docs: DataFrame, counts: np.ndarray, width: int, percent: int, n_docs: int) -> DataFrame:
-    """(token, salt, s1, meta) of every class's prefix; meta packs the set's size, the l from which the shingle counts, and the l chosen."""
+    """(token, salt, s1, n, pos, l) of every class's prefix: the set's size, the shingle's place in the order and the l chosen."""
     noise = float(counts.sum()) / COUNTERS
     part = max(PART, n_docs / 512)
 
@@ -112,7 +117,7 @@ def postings(docs: DataFrame, counts: np.ndarray, width: int, percent: int, n_do
         seen: set[int] = set()
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            token, salt, one, meta = [], [], [], []
+            token, salt, one, size, place, chosen = [], [], [], [], [], []
             for text in batch.column(0).to_pylist():
                 tokens = shingles(text, width)
                 n = len(tokens)
@@ -122,7 +127,7 @@ def postings(docs: DataFrame, counts: np.ndarray, width: int, percent: int, n_do
                 if s in seen:
                     continue
                 seen.add(s)
-                count = counts[(tokens >> np.uint64(44)).astype(np.int64)]
+                count = counts[(tokens >> np.uint64(64 - BITS)).astype(np.int64)]
                 least = -(-percent * n // 100)
                 base = n - least + 1
                 take = min(n, base + MOST_MATCHES - 1)
@@ -135,18 +140,19 @@ def postings(docs: DataFrame, counts: np.ndarray, width: int, percent: int, n_do
                 rare = np.maximum(count[order].astype(np.float64) - noise, 0)
                 l = choose_matches(rare, base, min(MOST_MATCHES, least, take - base + 1))
                 order, rare = order[: base + l - 1], rare[: base + l - 1]
-                level = np.maximum(1, np.arange(len(order)) - base + 2)
                 parts = np.ceil(rare / part).astype(np.int64)
                 token.append(tokens[order].view(np.int64))
                 salt.append(np.where(parts > 1, 1 + (s[0] & 0x7FFFFFFF) % np.maximum(parts, 1), 0))
                 one.append(np.full(len(order), s[0], dtype=np.int64))
-                meta.append((n << 8) | (level << 4) | l)
-            join = lambda x: np.concatenate(x) if x else np.zeros(0, dtype=np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(join(token)), pa.array(join(salt).astype(np.int32)), pa.array(join(one)), pa.array(join(meta).astype(np.int64))], ["token", "salt", "s1", "meta"])
+                size.append(np.full(len(order), n, dtype=np.int32))
+                place.append(np.arange(len(order), dtype=np.int32))
+                chosen.append(np.full(len(order), l, dtype=np.int32))
+            columns = [(np.concatenate(x) if x else np.zeros(0)).astype(kind) for x, kind in ((token, np.int64), (salt, np.int32), (one, np.int64), (size, np.int32), (place, np.int32), (chosen, np.int32))]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["token", "salt", "s1", "n", "pos", "l"])
 
         return each
 
-    return map_batches(docs.select("text"), make, "token long, salt int, s1 long, meta long")
+    return map_batches(docs.select("text"), make, "token long, salt int, s1 long, n int, pos int, l int")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -181,31 +187,41 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
     return map_batches(rows, make, f"a {kind}, b {kind}")
 
 
-def _star_pairs(live: DataFrame) -> DataFrame:
-    """(x, y) of s1: each member with the least member of its part of a list, and these with the least of the list; the best two a member."""
-    near = live.where("s1 <> least").select(F.col("s1").alias("x"), F.col("least").alias("y"))
-    heads = live.where("salt > 0").groupBy("token", "salt").agg(F.min("least").alias("x"))
-    tops = heads.groupBy("token").agg(F.min("x").alias("y"))
-    across = heads.join(tops, "token").where("x <> y").select("x", "y")
+def _counts(x: str, y: str, percent: int) -> Column:
+    """Whether a shingle that x and y share counts for the pair: the sizes can link and it stands within both prefixes."""
+    nx, ny = F.col(f"{x}n"), F.col(f"{y}n")
+    overlap = F.ceil(percent * (nx + ny) / (100 + percent) - 1e-9)
+    extra = F.least(f"{x}l", f"{y}l") - 1
+    sizes = (100 * nx >= percent * ny) & (100 * ny >= percent * nx)
+    return sizes & (F.col(f"{x}pos") <= nx - overlap + extra) & (F.col(f"{y}pos") <= ny - overlap + extra)
+
+
+def _star_pairs(live: DataFrame, percent: int) -> DataFrame:
+    """(x, y) of s1: each member with the head of its part of a list, and these with the head of the list; the best two a member."""
+    common = live.groupBy("s1").agg((F.countDistinct("token") / F.max("n")).alias("common"))
+    rows = live.select("token", "salt", "s1", "n", "pos", "l").join(common, "s1")
+    head = F.struct("common", F.col("s1").alias("s1"), "n", "pos", "l")
+    heads = rows.groupBy("token", "salt").agg(F.max(head).alias("h"))
+    near = rows.join(heads, ["token", "salt"]).where("s1 <> h.s1").where(_counts("", "h.", percent)).select(F.col("s1").alias("x"), F.col("h.s1").alias("y"))
+    parted = heads.where("salt > 0")
+    tops = parted.groupBy("token").agg(F.max("h").alias("t"))
+    across = parted.join(tops, "token").where("h.s1 <> t.s1").select(F.col("h.s1").alias("x"), F.col("t.s1").alias("y"))
     shared = near.union(across).groupBy("x", "y").agg(F.count(F.lit(1)).alias("shared"))
-    best = shared.groupBy("x").agg(F.max_by("y", F.struct("shared", "y")).alias("most"), F.min("y").alias("first"))
-    return best.select("x", F.explode(F.array_distinct(F.array("most", "first"))).alias("y"))
+    best = shared.groupBy("x").agg(F.max(F.struct("shared", "y")).alias("one"), F.max_by("y", F.struct(F.col("shared") >= 3, "y")).alias("two"))
+    return best.select("x", F.explode(F.array_distinct(F.array("one.y", "two"))).alias("y"))
 
 
 def _rest_pairs(live: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     """(x, y) of s1 in different components that share enough prefix shingles. ``parts``: (s1, part) where it is known."""
-    named = live.select("token", "s1", F.shiftright("meta", 8).alias("n"), F.shiftright("meta", 4).bitwiseAND(15).alias("level"), F.col("meta").bitwiseAND(15).alias("l")).distinct()
+    named = live.select("token", "s1", "n", "pos", "l").distinct()
     named = written(named.join(parts, "s1", "left").withColumn("part", F.coalesce("part", "s1")), "lists")
-    by_part = named.groupBy("token", "part").agg(F.count(F.lit(1)).alias("n"))
-    mixed_lists = by_part.groupBy("token").agg(F.count(F.lit(1)).alias("parts"), F.max_by("part", F.struct("n", "part")).alias("major")).where("parts > 1")
+    by_part = named.groupBy("token", "part").agg(F.count(F.lit(1)).alias("k"))
+    mixed_lists = by_part.groupBy("token").agg(F.count(F.lit(1)).alias("parts"), F.max_by("part", F.struct("k", "part")).alias("major")).where("parts > 1")
     rest = written(named.join(mixed_lists.select("token", "major"), "token"), "mixed-lists")
     # one side is never of the list's largest component, so a large component is not joined with itself
     o, r = rest.where("part <> major").alias("o"), rest.alias("r")
     fits = (F.col("o.token") == F.col("r.token")) & (F.col("o.part") != F.col("r.part")) & ((F.col("r.part") == F.col("r.major")) | (F.col("o.s1") < F.col("r.s1")))
-    fits &= (100 * F.col("o.n") >= percent * F.col("r.n")) & (100 * F.col("r.n") >= percent * F.col("o.n"))
-    matches = F.least("o.l", "r.l")
-    fits &= (F.col("o.level") <= matches) & (F.col("r.level") <= matches)
-    pairs = o.join(r, fits).select(F.least("o.s1", "r.s1").alias("x"), F.greatest("o.s1", "r.s1").alias("y"), matches.alias("l"))
+    pairs = o.join(r, fits & _counts("o.", "r.", percent)).select(F.least("o.s1", "r.s1").alias("x"), F.greatest("o.s1", "r.s1").alias("y"), F.least("o.l", "r.l").alias("l"))
     return pairs.groupBy("x", "y").agg(F.count(F.lit(1)).alias("shared"), F.max("l").alias("l")).where("shared >= l").select("x", "y")
 
 
@@ -223,7 +239,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     n_docs = sets.count()
     whole = postings(rows.where("doc_id is not null"), sketch(both), width, percent, n_docs)
     span = Window.partitionBy("token", "salt")
-    live = whole.withColumns({"least": F.min("s1").over(span), "most": F.max("s1").over(span)}).where("salt > 0 or least <> most").drop("most")
+    live = whole.withColumns({"least": F.min("s1").over(span), "most": F.max("s1").over(span)}).where("salt > 0 or least <> most").drop("least", "most")
     live = written(live, "live-postings")
     classes = sets.where("n > 0 and doc_id is not null").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("node"))
     nodes = written(classes.select("s1", "node").join(live.select("s1").distinct(), "s1"), "live-classes")
@@ -234,7 +250,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         named = pairs.join(nodes.toDF("x", "a"), "x").join(nodes.toDF("y", "b"), "y").where("a <> b").select("a", "b")
         return written(verified(named, texts, width, percent), "links")
 
-    links = check(_star_pairs(live))
+    links = check(_star_pairs(live, percent))
     first = components(links, "a", "b")
     # labels in terms of s1; an s1 of several classes stays by itself, so that no pair of it is passed over
     single = nodes.groupBy("s1").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("k")).where("k = 1").select("s1", "node")
