@@ -23,3 +23,16 @@ def ship(spark: SparkSession) -> None:
         for path in sorted(here.rglob("*.py")):
             out.write(path, str(Path(here.name) / path.relative_to(here)))
     context.addPyFile(str(bundle))
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder's path that all machines share (below spark.checkpoint.dir), in local mode a temporary one."""
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="findoc-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base}/findoc/{uuid.uuid4().hex}"
