@@ -97,12 +97,15 @@ def sketch(described: DataFrame) -> np.ndarray:
 
 
 def choose_matches(frequency: np.ndarray, base: int, most: int) -> int:
-    """The l whose prefix, ``base + l - 1`` shingles long, costs least: its postings, and VERIFY for each pair that they may make."""
-    sums = np.cumsum(frequency)
+    """The l whose prefix, ``base + l - 1`` shingles long, costs least: its postings, and VERIFY for each pair they may make.
+
+    A document that shares l shingles is in a list other than the l - 1 longest, so those left bound the pairs.
+    """
     best, cost = 1, None
     for l in range(1, most + 1):
-        own = float(sums[base + l - 2])
-        total = own + VERIFY * own / l
+        own = frequency[: base + l - 1]
+        total = float(own.sum())
+        total += VERIFY * (total - float(np.sort(own)[len(own) - l + 1 :].sum()))
         if cost is None or total < cost:
             best, cost = l, total
     return best
