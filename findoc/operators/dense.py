@@ -116,7 +116,7 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
                 return
             length = np.linalg.norm(matrix, axis=1, keepdims=True)
             unit = matrix / np.where(length > 1e-6, length, 1)
-            held_ids, held = None, np.zeros((len(unit), 0))
+            held_ids, held, kind = None, np.zeros((len(unit), 0)), None
             for batch in batches:
                 if not batch.num_rows:
                     continue
@@ -124,13 +124,14 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
                 m = np.array(rows.values.to_numpy(zero_copy_only=False), dtype=np.float64).reshape(batch.num_rows, -1)
                 size = np.linalg.norm(m, axis=1, keepdims=True)
                 scores = np.round(unit @ (m / np.where(size > 1e-6, size, 1)).T, 6) + 0.0
+                kind = batch.column(0).type
                 own = np.array(batch.column(0).to_pylist())
                 every, names = np.hstack([held, scores]), np.broadcast_to(own, scores.shape) if held_ids is None else np.hstack([held_ids, np.broadcast_to(own, scores.shape)])
                 best = np.lexsort((names, -every), axis=1)[:, :k]
                 held, held_ids = np.take_along_axis(every, best, 1), np.take_along_axis(names, best, 1)
             if held_ids is not None:
                 width = held.shape[1]
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.repeat(np.arange(len(unit)), width))), pa.array(held_ids.ravel().tolist()), pa.array(held.ravel())], ["query_id", "chunk_id", "score"])
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.repeat(np.arange(len(unit)), width))), pa.array(held_ids.ravel().tolist(), kind), pa.array(held.ravel())], ["query_id", "chunk_id", "score"])
 
         here = index.select("chunk_id", "vector").mapInArrow(run, f"query_id {query_kind}, chunk_id {chunk_kind}, score double")
         found = here if found is None else found.unionByName(here)
