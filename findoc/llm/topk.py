@@ -60,7 +60,8 @@ def _pack(rows: DataFrame, size: int) -> DataFrame:
 
 
 def _matrix(ids: bytes, matrix: bytes, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(ids, dtype=np.int64), np.frombuffer(matrix, dtype=np.int64).reshape(-1, dim)
+    names = np.frombuffer(ids, dtype=np.int64)
+    return names, np.frombuffer(matrix, dtype=np.int64).reshape(len(names), dim)
 
 
 class Bucketed:
