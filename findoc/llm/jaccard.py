@@ -112,15 +112,16 @@ def choose_matches(frequency: np.ndarray, base: int, most: int) -> int:
 
 
 def postings(docs: DataFrame, counts: np.ndarray, width: int, percent: int, n_docs: int) -> DataFrame:
-    """(token, salt, s1, n, pos, l) of every class's prefix: the set's size, the shingle's place in the order and the l chosen."""
+    """(token, salt, s1, n, pos, l, share) of every class's prefix: the set's size, the shingle's place in the order, the l
+    chosen, and how many 255ths of the set the sketch shows to be common."""
     noise = float(counts.sum()) / COUNTERS
-    part = max(PART, n_docs / 512)
+    part, common = max(PART, n_docs / 512), noise + 4 * noise**0.5 + 4
 
     def make():
         seen: set[int] = set()
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            token, salt, one, size, place, chosen = [], [], [], [], [], []
+            token, salt, one, size, place, chosen, share = [], [], [], [], [], [], []
             for text in batch.column(0).to_pylist():
                 tokens = shingles(text, width)
                 n = len(tokens)
@@ -149,13 +150,14 @@ def postings(docs: DataFrame, counts: np.ndarray, width: int, percent: int, n_do
                 one.append(np.full(len(order), s[0], dtype=np.int64))
                 size.append(np.full(len(order), n, dtype=np.int32))
                 place.append(np.arange(len(order), dtype=np.int32))
-                chosen.append(np.full(len(order), l, dtype=np.int32))
-            columns = [(np.concatenate(x) if x else np.zeros(0)).astype(kind) for x, kind in ((token, np.int64), (salt, np.int32), (one, np.int64), (size, np.int32), (place, np.int32), (chosen, np.int32))]
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["token", "salt", "s1", "n", "pos", "l"])
+                chosen.append(np.full(len(order), l, dtype=np.int8))
+                share.append(np.full(len(order), int(255 * (count > common).mean()), dtype=np.int16))
+            columns = [(np.concatenate(x) if x else np.zeros(0)).astype(kind) for x, kind in ((token, np.int64), (salt, np.int16), (one, np.int64), (size, np.int32), (place, np.int32), (chosen, np.int8), (share, np.int16))]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["token", "salt", "s1", "n", "pos", "l", "share"])
 
         return each
 
-    return map_batches(docs.select("text"), make, "token long, salt int, s1 long, n int, pos int, l int")
+    return map_batches(docs.select("text"), make, "token long, salt smallint, s1 long, n int, pos int, l tinyint, share smallint")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -201,12 +203,8 @@ def _counts(x: str, y: str, percent: int) -> Column:
 
 def _star_pairs(live: DataFrame, percent: int) -> DataFrame:
     """(x, y) of s1: each member with the head of its part of a list, and these with the head of the list; the best two a member."""
-    common = live.groupBy("s1").agg((F.countDistinct("token") / F.max("n")).alias("common"))
-    rows = live.select("token", "salt", "s1", "n", "pos", "l").join(common, "s1")
-    head = F.struct("common", F.col("s1").alias("s1"), "n", "pos", "l")
-    heads = rows.groupBy("token", "salt").agg(F.max(head).alias("h"))
-    near = rows.join(heads, ["token", "salt"]).where("s1 <> h.s1").where(_counts("", "h.", percent)).select(F.col("s1").alias("x"), F.col("h.s1").alias("y"))
-    parted = heads.where("salt > 0")
+    near = live.where("s1 <> h.s1").where(_counts("", "h.", percent)).select(F.col("s1").alias("x"), F.col("h.s1").alias("y"))
+    parted = live.where("salt > 0").groupBy("token", "salt").agg(F.max("h").alias("h"))
     tops = parted.groupBy("token").agg(F.max("h").alias("t"))
     across = parted.join(tops, "token").where("h.s1 <> t.s1").select(F.col("h.s1").alias("x"), F.col("t.s1").alias("y"))
     shared = near.union(across).groupBy("x", "y").agg(F.count(F.lit(1)).alias("shared"))
@@ -214,13 +212,24 @@ def _star_pairs(live: DataFrame, percent: int) -> DataFrame:
     return best.select("x", F.explode(F.array_distinct(F.array("one.y", "two"))).alias("y"))
 
 
+def _mixed_lists(named: DataFrame) -> DataFrame:
+    """The rows of lists that hold several parts, with the list's largest part (major).
+
+    Short lists are decided by windows over one shuffle; parted ones, which may be of any length, by aggregates.
+    """
+    of_part, of_list = Window.partitionBy("token", "part"), Window.partitionBy("token")
+    short = named.where("salt = 0").repartition("token").withColumn("k", F.count(F.lit(1)).over(of_part))
+    short = short.withColumns({"major": F.max(F.struct("k", "part")).over(of_list)["part"], "low": F.min("part").over(of_list), "high": F.max("part").over(of_list)}).where("low <> high").drop("k", "low", "high")
+    long = named.where("salt > 0")
+    sizes = long.groupBy("token", "part").agg(F.count(F.lit(1)).alias("k"))
+    majors = sizes.groupBy("token").agg(F.count(F.lit(1)).alias("parts"), F.max_by("part", F.struct("k", "part")).alias("major")).where("parts > 1")
+    return short.unionByName(long.join(majors.select("token", "major"), "token"))
+
+
 def _rest_pairs(live: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     """(x, y) of s1 in different components that share enough prefix shingles. ``parts``: (s1, part) where it is known."""
-    named = live.select("token", "s1", "n", "pos", "l").distinct()
-    named = written(named.join(parts, "s1", "left").withColumn("part", F.coalesce("part", "s1")), "lists")
-    by_part = named.groupBy("token", "part").agg(F.count(F.lit(1)).alias("k"))
-    mixed_lists = by_part.groupBy("token").agg(F.count(F.lit(1)).alias("parts"), F.max_by("part", F.struct("k", "part")).alias("major")).where("parts > 1")
-    rest = written(named.join(mixed_lists.select("token", "major"), "token"), "mixed-lists")
+    named = live.select("token", "salt", "s1", "n", "pos", "l").join(parts, "s1", "left").withColumn("part", F.coalesce("part", "s1"))
+    rest = written(_mixed_lists(named), "mixed-lists")
     # one side is never of the list's largest component, so a large component is not joined with itself
     o, r = rest.where("part <> major").alias("o"), rest.alias("r")
     fits = (F.col("o.token") == F.col("r.token")) & (F.col("o.part") != F.col("r.part")) & ((F.col("r.part") == F.col("r.major")) | (F.col("o.s1") < F.col("r.s1")))
@@ -242,16 +251,19 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     n_docs = sets.count()
     whole = postings(rows.where("doc_id is not null"), sketch(both), width, percent, n_docs)
     span = Window.partitionBy("token", "salt")
-    live = whole.withColumns({"least": F.min("s1").over(span), "most": F.max("s1").over(span)}).where("salt > 0 or least <> most").drop("least", "most")
-    live = written(live, "live-postings")
+    head = F.max(F.struct("share", "s1", "n", "pos", "l")).over(span)
+    live = whole.withColumns({"least": F.min("s1").over(span), "most": F.max("s1").over(span), "h": head}).where("salt > 0 or least <> most")
+    # a class that several tasks met has equal rows, which are in one partition by now
+    live = written(live.select("token", "salt", "s1", "n", "pos", "l", F.struct("h.s1", "h.n", "h.pos", "h.l").alias("h")).dropDuplicates(["token", "salt", "s1"]), "live-postings")
     classes = sets.where("n > 0 and doc_id is not null").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("node"))
     nodes = written(classes.select("s1", "node").join(live.select("s1").distinct(), "s1"), "live-classes")
-    texts = maybe_in(rows.where("doc_id is not null").withColumnRenamed("doc_id", "node"), nodes.select("node"), "node")
-    texts = written(texts.join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"]), "live-texts")
+    known = rows.where("doc_id is not null").withColumnRenamed("doc_id", "node")
 
     def check(pairs: DataFrame) -> DataFrame:
-        named = pairs.join(nodes.toDF("x", "a"), "x").join(nodes.toDF("y", "b"), "y").where("a <> b").select("a", "b")
-        return written(verified(named, texts, width, percent), "links")
+        named = written(pairs.join(nodes.toDF("x", "a"), "x").join(nodes.toDF("y", "b"), "y").where("a <> b").select("a", "b"), "pairs")
+        asked = named.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        texts = maybe_in(known, asked, "node").join(asked, "node", "left_semi").dropDuplicates(["node"])
+        return written(verified(named, written(texts, "texts"), width, percent), "links")
 
     links = check(_star_pairs(live, percent))
     first = components(links, "a", "b")
