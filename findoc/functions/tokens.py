@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 # The lexical index's patterns.
 PAREN_NEGATIVE = r"\(([0-9]+(?:,[0-9]{3})*(?:\.[0-9]+)?(?:[MBKmbk%])?)\)"
 TOKEN = r"\$?-?[0-9]+(?:,[0-9]{3})*(?:\.[0-9]+)?%?(?:[a-zA-Z])?|[a-zA-Z0-9_\-]+"
+# The same without single letters, which the index leaves out.
+INDEX_TOKEN = TOKEN.removesuffix("+") + "{2,}"
 # The reranker's and the grounder's patterns.
 PAIR_TOKEN = r"[a-zA-Z0-9_\$%]+"
 TERM = r"[a-zA-Z0-9_\-]+"
@@ -25,16 +27,15 @@ def every(text: Column, pattern: str, group: int = 0) -> Column:
 
 def lexical_tokens(text: Column) -> Column:
     """Index terms with repeats: parenthesised negatives get a minus, single letters go, and numbers with $, % or commas
-    are also indexed without them."""
-    low = F.transform(every(F.regexp_replace(text, PAREN_NEGATIVE, "-$1"), TOKEN), lambda t: F.lower(t))
-    kept = F.filter(low, lambda t: (F.length(t) > 1) | t.rlike("^[0-9]$"))
+    are also indexed without them (after all other terms)."""
+    low = F.transform(every(F.regexp_replace(text, PAREN_NEGATIVE, "-$1"), INDEX_TOKEN), lambda t: F.lower(t))
 
-    def variants(t: Column) -> Column:
+    def bare_forms(t: Column) -> Column:
         bare = F.when(t.startswith("$"), F.ltrim(t, F.lit("$"))).when(t.endswith("%"), F.rtrim(t, F.lit("%"))).otherwise(F.lit(""))
         plain = lambda x: F.when(F.contains(x, F.lit(",")), F.replace(x, F.lit(","), F.lit("")))
-        return F.array_compact(F.array(t, plain(t), F.when(bare != "", bare), plain(bare)))
+        return F.array_compact(F.array(plain(t), F.when(bare != "", bare), plain(bare)))
 
-    return F.flatten(F.transform(kept, variants))
+    return F.concat(low, F.flatten(F.transform(F.filter(low, lambda t: t.rlike("[$%,]")), bare_forms)))
 
 
 def numbers(text: Column, pattern: str = NUMBER) -> Column:
