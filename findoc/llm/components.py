@@ -17,7 +17,8 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
         out = near.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         out = near.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-    return out.where("u <> v").distinct()
+    # repeated edges fold in the next aggregate and once a round
+    return out.where("u <> v")
 
 
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
@@ -29,5 +30,5 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
         if now["n"] == 0 or now == state:
             break
         state = now
-        edges = written(_stars(_stars(edges, True), False), "stars")
+        edges = written(_stars(_stars(edges, True), False).distinct(), "stars")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())

@@ -16,6 +16,7 @@ that shares enough. The second phase is exact: a link between components is a pa
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,6 +49,24 @@ def _id_kind(docs: DataFrame, id_col: str) -> str:
     return kind if kind in ("bigint", "int", "string") else "string"
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """A part of a sketch: places and counts where most are zero, else all counts, compressed."""
+    at = np.flatnonzero(counts)
+    kind = "<u1" if counts.max() < 1 << 8 else "<u4"
+    if 4 * len(at) < len(counts):
+        return b"s" + kind[-1].encode() + zlib.compress(at.astype("<u2").tobytes() + counts[at].astype(kind).tobytes(), 1)
+    return b"d" + kind[-1].encode() + zlib.compress(counts.astype(kind).tobytes(), 1)
+
+
+def _add_packed(sums: np.ndarray, part: bytes) -> None:
+    raw, width = zlib.decompress(part[2:]), int(part[1:2])
+    if part[:1] == b"d":
+        sums += np.frombuffer(raw, dtype=f"<u{width}")
+    else:
+        n = len(raw) // (2 + width)
+        sums[np.frombuffer(raw[: 2 * n], dtype="<u2")] += np.frombuffer(raw[2 * n :], dtype=f"<u{width}")
+
+
 def describe(docs: DataFrame, width: int) -> DataFrame:
     """Rows of two sorts in one pass: (doc_id, n, s1, s2) for each document, (chunk, counts) for parts of each task's sketch."""
     kind = _id_kind(docs, "doc_id")
@@ -71,8 +90,7 @@ def describe(docs: DataFrame, width: int) -> DataFrame:
             empty = pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), *empty], names)
         for k in np.flatnonzero(counts.reshape(-1, CHUNK).any(axis=1)):
-            part = counts[k * CHUNK : (k + 1) * CHUNK]
-            part = part.astype("<u2" if part.max() < 1 << 16 else "<u4").tobytes()
+            part = _packed(counts[k * CHUNK : (k + 1) * CHUNK])
             yield pa.RecordBatch.from_arrays([pa.nulls(1, id_type), *(pa.nulls(1, pa.int64()) for _ in range(3)), pa.array([k], pa.int32()), pa.array([part], pa.binary())], names)
 
     return docs.mapInArrow(run, f"doc_id {kind}, n long, s1 long, s2 long, chunk int, counts binary")
@@ -85,7 +103,8 @@ def sketch(described: DataFrame) -> np.ndarray:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                sums[k] = sums.get(k, 0) + np.frombuffer(part, dtype="<u2" if len(part) == 2 * CHUNK else "<u4").astype(np.uint64)
+                sums.setdefault(k, np.zeros(CHUNK, dtype=np.uint64))
+                _add_packed(sums[k], part)
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.astype("<u8").tobytes() for v in sums.values()], pa.binary())], ["chunk", "counts"])
 
@@ -271,7 +290,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     single = nodes.groupBy("s1").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("k")).where("k = 1").select("s1", "node")
     parts = single.join(first, "node").select("s1", F.col("component").alias("node")).join(nodes.select("node", F.col("s1").alias("part")), "node").select("s1", "part")
     more = check(_rest_pairs(live, written(parts, "parts"), percent))
-    label = written(components(links.union(more), "a", "b"), "components")
+    label = written(components(first.toDF("a", "b").union(more), "a", "b"), "components")
     named = classes.join(label.withColumnRenamed("component", "c"), "node", "left").select("s1", "s2", "n", F.coalesce("c", "node").alias("component_id"))
     return _labelled(sets, named)
 
