@@ -39,6 +39,11 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def few(df: DataFrame, rows: int, each: int = 100_000) -> DataFrame:
+    """``df`` in a task for every ``each`` of about ``rows`` rows, at most as many as it has: small tables need few tasks."""
+    return df.coalesce(1 + int(rows) // each)
+
+
 def join_counted(left: DataFrame, index: DataFrame, key: str, count: str, how: str = "left") -> DataFrame:
     """``left`` joined (left or inner) with ``index``, which has one row of fixed width per ``key`` and in ``count`` how many rows of ``left`` it has.
 

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from findoc.llm.common import written
+from findoc.llm.common import few, written
 
 
-def _stars(edges: DataFrame, large: bool) -> DataFrame:
+def _stars(edges: DataFrame, large: bool, n: int) -> DataFrame:
     """``edges`` (u > v). Large star: every greater neighbour of u points to u's least one. Small star: every lesser one, and u."""
     both = edges.union(edges.select("v", "u")).toDF("u", "v") if large else edges
-    least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    near = both.join(least, "u")
+    least = few(both.groupBy("u").agg(F.min("v").alias("m")), n).withColumn("m", F.least("u", "m"))
+    near = few(both.join(least, "u"), 2 * n)
     if large:
         out = near.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
@@ -29,6 +29,6 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
         now = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if now["n"] == 0 or now == state:
             break
-        state = now
-        edges = written(_stars(_stars(edges, True), False).distinct(), "stars")
+        state, n = now, now["n"]
+        edges = written(few(_stars(_stars(edges, True, n), False, n).distinct(), n), "stars")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())

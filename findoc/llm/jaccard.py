@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from findoc.llm.common import BATCH_ROWS, map_batches, maybe_in, written
+from findoc.llm.common import BATCH_ROWS, few, map_batches, maybe_in, written
 from findoc.llm.components import components
 from findoc.llm.shingles import mixed, shingles
 
@@ -274,13 +274,15 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     live = whole.withColumns({"least": F.min("s1").over(span), "most": F.max("s1").over(span), "h": head}).where("salt > 0 or least <> most")
     # a class that several tasks met has equal rows, which are in one partition by now
     live = written(live.select("token", "salt", "s1", "n", "pos", "l", F.struct("h.s1", "h.n", "h.pos", "h.l").alias("h")).dropDuplicates(["token", "salt", "s1"]), "live-postings")
+    n_live = live.count()
     classes = sets.where("n > 0 and doc_id is not null").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("node"))
-    nodes = written(classes.select("s1", "node").join(live.select("s1").distinct(), "s1"), "live-classes")
+    nodes = written(few(few(classes, n_docs).select("s1", "node").join(few(live.select("s1").distinct(), n_live), "s1"), n_docs), "live-classes")
     known = rows.where("doc_id is not null").withColumnRenamed("doc_id", "node")
 
     def check(pairs: DataFrame) -> DataFrame:
-        named = written(pairs.join(nodes.toDF("x", "a"), "x").join(nodes.toDF("y", "b"), "y").where("a <> b").select("a", "b"), "pairs")
-        asked = named.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        named = few(few(pairs, n_live).join(nodes.toDF("x", "a"), "x"), n_live).join(nodes.toDF("y", "b"), "y")
+        named = written(few(named.where("a <> b").select("a", "b"), n_live), "pairs")
+        asked = written(few(named.select(F.explode(F.array("a", "b")).alias("node")).distinct(), n_docs), "asked")
         texts = maybe_in(known, asked, "node").join(asked, "node", "left_semi").dropDuplicates(["node"])
         return written(verified(named, written(texts, "texts"), width, percent), "links")
 
@@ -288,9 +290,9 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     first = components(links, "a", "b")
     # labels in terms of s1; an s1 of several classes stays by itself, so that no pair of it is passed over
     single = nodes.groupBy("s1").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("k")).where("k = 1").select("s1", "node")
-    parts = single.join(first, "node").select("s1", F.col("component").alias("node")).join(nodes.select("node", F.col("s1").alias("part")), "node").select("s1", "part")
-    more = check(_rest_pairs(live, written(parts, "parts"), percent))
-    label = written(components(first.toDF("a", "b").union(more), "a", "b"), "components")
+    parts = few(single, n_docs).join(first, "node").select("s1", F.col("component").alias("node")).join(nodes.select("node", F.col("s1").alias("part")), "node").select("s1", "part")
+    more = check(_rest_pairs(live, written(few(parts, n_docs), "parts"), percent))
+    label = written(few(components(first.toDF("a", "b").union(more), "a", "b"), n_docs), "components")
     named = classes.join(label.withColumnRenamed("component", "c"), "node", "left").select("s1", "s2", "n", F.coalesce("c", "node").alias("component_id"))
     return _labelled(sets, named)
 
