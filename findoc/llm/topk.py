@@ -4,8 +4,9 @@ Vectors are range-partitioned by length (ties by a hash of the id, so that a vec
 packed into blocks of descending length. The longest vectors give each query a first threshold. Query blocks then stream
 past each vector block that can still matter. In a block, buckets of similar length are taken in turn: the query's
 threshold, divided by its own length and the bucket's greatest, is a local cosine threshold. Above 1 the bucket is
-skipped; a high one prunes by coordinates (a vector with that cosine must have its coordinates near the query's), a low
-one by length (a prefix of the bucket). What is left is verified with exact integer products.
+skipped; a high one prunes by coordinates (a vector with that cosine must have its coordinates near the query's, or
+between them and the axis), a low one by length (a prefix of the bucket). What is left is verified with exact integer
+products.
 """
 
 from __future__ import annotations
@@ -103,7 +104,10 @@ class Bucketed:
                 for f in range(focus.shape[1]):
                     own = unit[narrow, focus[narrow, f]]
                     spread = np.sqrt(np.maximum((1 - cos**2) * (1 - own**2), 0)) + 1e-7
-                    keep &= np.abs(self.unit[at:end, focus[narrow, f]].T - (own * cos)[:, None]) <= spread[:, None]
+                    # a query nearer to the axis than the threshold's angle: vectors up to the axis itself qualify
+                    low, high = np.where(own <= -cos, -np.inf, own * cos - spread), np.where(own >= cos, np.inf, own * cos + spread)
+                    there = self.unit[at:end, focus[narrow, f]].T
+                    keep &= (there >= low[:, None]) & (there <= high[:, None])
                 q, c = np.nonzero(keep)
                 for part in range(0, len(q), 1 << 16):
                     pq, pc = narrow[q[part : part + (1 << 16)]], at + c[part : part + (1 << 16)]

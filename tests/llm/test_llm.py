@@ -71,6 +71,22 @@ def test_topk_equals_brute_force(spark, monkeypatch, scale):
     assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got.collect()) == brute_topk(rows, 20)
 
 
+def test_topk_keeps_vectors_nearer_to_the_axis_than_the_query(spark, monkeypatch):
+    """One-hot-like vectors, and copies of queries that have a coordinate above 0.9 of their length."""
+    monkeypatch.setattr(topk, "BLOCK", 256)
+    rng = np.random.default_rng(11)
+    rows = []
+    for i in range(900):
+        v = rng.normal(0, rng.choice([0.02, 0.1, 0.2]), 8)
+        v[i % 3] += rng.choice([-1, 1]) * (1 + (i % 5) / 50)
+        rows.append((i, [float(x) for x in v]))
+    rows += [(900 + i, rows[i * 20][1]) for i in range(45)] + [(945 + i, [float(i % 3 == j) for j in range(8)]) for i in range(15)]
+    unit = np.array([v for _, v in rows[:900:20]])
+    assert (np.abs(unit).max(axis=1) / np.linalg.norm(unit, axis=1) > 0.9).sum() > 20
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") % 20 == 0)
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got.collect()) == brute_topk(rows, 20)
+
+
 def test_topk_of_nothing(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert topk.top_k(empty, F.col("id") % 20 == 0).count() == 0
