@@ -68,17 +68,44 @@ def chunk_documents(docs: DataFrame, size: int = 500, overlap: int = 100) -> Dat
     )
 
 
-def sections(docs: DataFrame) -> DataFrame:
-    """(doc_id, pos, label, content): filing items in order, what stands before them, or the whole text as one."""
+def _cut_sections(docs: DataFrame) -> DataFrame:
+    """The columns of ``docs``, any (whether the text has filing items), pos, part (as the text has it), content and label."""
     names = "|".join(pattern for pattern, _ in ITEMS)
     text = F.coalesce("text", F.lit(""))
     parts = F.split(F.regexp_replace(text, rf"(?imd)^(\s*item\s+(?:{names})\b)", "\x01$1"), "\x01")
-    cut = docs.select("doc_id", (F.size(parts) > 1).alias("any"), F.posexplode(parts).alias("pos", "part")).withColumn("content", stripped(F.col("part")))
+    cut = docs.select("*", (F.size(parts) > 1).alias("any"), F.posexplode(parts).alias("pos", "part")).withColumn("content", stripped(F.col("part")))
     label = F.lit("General Filing")
     for pattern, name in ITEMS:
         label = F.when(F.col("content").rlike(rf"(?i)^item\s+{pattern}\b"), name).otherwise(label)
     named = F.when(~F.col("any"), "General Filing").when(F.col("pos") == 0, "Filing Header & Preamble").otherwise(label)
-    return cut.where("content <> '' or not any").select("doc_id", "pos", named.alias("label"), F.when(F.col("any"), F.col("content")).otherwise(F.col("part")).alias("content"))
+    return cut.withColumn("label", named)
+
+
+def sections(docs: DataFrame) -> DataFrame:
+    """(doc_id, pos, label, content): filing items in order, what stands before them, or the whole text as one."""
+    cut = _cut_sections(docs.select("doc_id", "text")).where("content <> '' or not any")
+    return cut.select("doc_id", "pos", "label", F.when(F.col("any"), F.col("content")).otherwise(F.col("part")).alias("content"))
+
+
+def _placed(parts: DataFrame, gap: int) -> DataFrame:
+    """``parts`` (row, pos, n, ...) with start_at and end_at, where the parts of a row follow one another ``gap`` characters apart."""
+    order = Window.partitionBy("row").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    placed = parts.withColumn("end_at", F.sum(F.col("n") + gap).over(order) - gap)
+    return placed.withColumn("start_at", F.col("end_at") - F.col("n"))
+
+
+def section_spans(docs: DataFrame) -> DataFrame:
+    """(doc_id, pos, label, start_at, end_at): where each of ``sections`` starts in the text, and where the next one does or the text ends."""
+    rows = docs.select("doc_id", F.translate("text", "\x01", "\x02").alias("text"), F.monotonically_increasing_id().alias("row"))
+    parts = _cut_sections(rows).select("row", "doc_id", "pos", "label", F.length("part").alias("n"), ((F.col("content") != "") | ~F.col("any")).alias("some"))
+    return _placed(parts, 0).where("some").select("doc_id", "pos", "label", "start_at", "end_at")
+
+
+def line_spans(docs: DataFrame) -> DataFrame:
+    """(doc_id, pos, line, start_at, end_at): each line and where it starts and ends in the text. A null text is empty: one empty line."""
+    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.coalesce("text", F.lit("")).alias("text"))
+    lines = rows.select("row", "doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    return _placed(lines.withColumn("n", F.length("line")), 1).select("doc_id", "pos", "line", "start_at", "end_at")
 
 
 def pack_sections(docs: DataFrame, most: int = 500) -> DataFrame:

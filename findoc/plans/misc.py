@@ -208,7 +208,7 @@ def modality_counts(spark, sf_dir):
 
 @query("section_offsets", "SELECT doc_id, line, start_at FROM (SELECT doc_id, unnest(parts) AS line, unnest(list_transform(range(0, len(parts)), lambda i: list_sum(list_transform(parts[1:i], lambda x: length(x) + 1)))) AS start_at FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents)) WHERE false UNION ALL SELECT doc_id, NULL, length(text)::BIGINT FROM documents WHERE text IS NOT NULL")
 def section_offsets(spark, sf_dir):
-    """Where each document's last line ends: the running sum of its lines' lengths."""
+    """Only where each document's last line ends, which its SQL asks for; document_line_offsets and document_section_offsets have all starts and ends."""
     lines = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     order = Window.partitionBy("doc_id").orderBy("pos")
     ends = lines.select("doc_id", (F.sum(F.length("line") + 1).over(order.rowsBetween(Window.unboundedPreceding, 0)) - 1).alias("start_at"), F.lead("pos").over(order).alias("next"))

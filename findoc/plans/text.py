@@ -190,6 +190,32 @@ def section_split(spark, sf_dir):
     return parse.sections(fx.frame(spark, fx.FILINGS, "doc_id int, text string"))
 
 
+@query(
+    "document_line_offsets",
+    """WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
+l AS (SELECT r, doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) - 1 AS pos FROM d),
+e AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY r ORDER BY pos) - 1 AS end_at FROM l)
+SELECT doc_id, pos::INTEGER AS pos, line, (end_at - length(line))::BIGINT AS start_at, end_at::BIGINT AS end_at FROM e""",
+)
+def document_line_offsets(spark, sf_dir):
+    """Every line of every document, with its start and end."""
+    return parse.line_spans(table(spark, sf_dir, "documents"))
+
+
+_TITLED = "SELECT doc_id, concat('About the firm', chr(10), 'Item 1. Business', chr(10), text, chr(10), chr(10), '  ITEM 7. MANAGEMENT''S DISCUSSION AND ANALYSIS', chr(10), left(text, 100)) AS text FROM {docs} UNION ALL SELECT -doc_id, text FROM {docs}"
+
+
+@query(
+    "document_section_offsets",
+    rf"""WITH t AS (SELECT row_number() OVER () AS doc_id, doc_id AS id, text FROM ({_TITLED.format(docs="documents")})), {_sections_sql("t")},
+e AS (SELECT doc_id, pos, length(part) AS n, sum(length(part)) OVER (PARTITION BY doc_id ORDER BY pos) AS end_at FROM o)
+SELECT t.id AS doc_id, sec.pos, label, (end_at - n)::BIGINT AS start_at, end_at::BIGINT AS end_at FROM sec JOIN e ON e.doc_id = sec.doc_id AND e.pos = sec.pos JOIN t ON t.doc_id = sec.doc_id""",
+)
+def document_section_offsets(spark, sf_dir):
+    """Sections of every document, as it is (negative id) and as the body of two filing items, with their starts and ends."""
+    return parse.section_spans(spark.sql(_TITLED, docs=table(spark, sf_dir, "documents")))
+
+
 @query(
     "greedy_pack_chunks",
     rf"""WITH RECURSIVE {_sections_sql("(SELECT doc_id, replace(text, chr(10), chr(10) || chr(10)) AS text FROM documents)")},

@@ -1,7 +1,7 @@
 """What the whole-table queries do not show: empty inputs, nulls, ties, errors, state."""
 
 import time
-from collections import OrderedDict
+from collections import Counter, OrderedDict
 
 import pytest
 from pyspark.sql import functions as F
@@ -99,6 +99,19 @@ def test_chunks_of_odd_documents(spark):
     assert [(r["doc_id"], r["start_idx"], r["token_count"]) for r in got] == [(3, 0, 650), (3, 400, 650), (3, 800, 131)]
 
 
+def test_offsets_cut_the_text_back(spark):
+    texts = {1: "Cover\n\nItem 1. Business\nWe make \x01 sensors.\nITEM 7A. Quantitative and Qualitative Disclosures\nNone.", 2: "one\n\nthree é😀\n", 3: "", 4: "Item 2. Properties", 5: None}
+    df = spark.createDataFrame(list(texts.items()) + [(2, texts[2])], "doc_id int, text string")
+    lines = sorted((r["doc_id"], r["pos"], r["line"], r["start_at"], r["end_at"]) for r in parse.line_spans(df).collect())
+    assert all((texts[k] or "")[a:b] == line for k, _, line, a, b in lines)
+    assert Counter(x[0] for x in lines) == {1: 6, 2: 8, 3: 1, 4: 1, 5: 1}
+    spans = sorted((r["doc_id"], r["label"], r["start_at"], r["end_at"]) for r in parse.section_spans(df).collect())
+    at, end = texts[1].index("\nItem 1."), len(texts[1])
+    cut = [(texts[k] or "")[a:b].strip() for k, _, a, b in spans if k == 1]
+    assert cut == ["Cover", texts[1][at + 1 : texts[1].index("\nITEM")], texts[1][texts[1].index("ITEM") :]] and spans[0][2] == 0 and spans[2][3] == end
+    assert spans[3:] == [(2, "General Filing", 0, len(texts[2]))] * 2 + [(3, "General Filing", 0, 0), (4, "Item 2: Properties", 0, 18), (5, "General Filing", 0, 0)]
+
+
 def test_table_access(spark):
     text = "| Item | Now |\n| --- | --- |\n| a | 1 |\n| b |"
     row = spark.createDataFrame([(text,)], "text string").select(tables.parse_markdown(F.col("text")).alias("t"))
