@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from findoc.llm.common import table, without, written
+from findoc.llm.common import join_counted, maybe_in, table, without, written
 from findoc.llm.exact_dedup import exact_dedup
 from findoc.llm.jaccard import jaccard_join
 from findoc.llm.mixing import mix
 from findoc.llm.packing import pack
 from findoc.llm.tokens import vocabulary
-from findoc.llm.toxicity import score_toxicity, train_toxicity
+from findoc.llm.toxicity import clean_rows, train_toxicity
 
 #: Columns of documents; every stage but the last returns them.
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -19,20 +19,38 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 ORACLE_SQL = None
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a written ``row`` key: ids may be null or repeat, rows are dropped by their own key."""
+    return written(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "keyed")
+
+
+def _first() -> Column:
+    """What orders the rows of a group: the least doc_id stays, a null one only among nulls, and one row of equal ids."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("row").alias("row"))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = train_toxicity(docs, table(spark, sf_dir, "labels"))
-    verdicts = written(score_toxicity(docs, model).where("predicted = 1"), "toxic")
-    return without(docs, verdicts, "doc_id").select(*COLUMNS)
+    return clean_rows(docs.select(*COLUMNS), model)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    verdicts = written(exact_dedup(docs).where("not kept").select("doc_id"), "copies")
-    return without(docs, verdicts, "doc_id").select(*COLUMNS)
+    rows = _keyed(docs)
+    verdicts = exact_dedup(rows.select(_first().alias("first"), "text"), id_col="first")
+    verdicts = written(verdicts.where("not kept").select("doc_id.row"), "copies")
+    return without(rows, verdicts, "row").select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    verdicts = written(jaccard_join(docs).where("component_id <> doc_id").select("doc_id"), "near-copies")
-    return without(docs, verdicts, "doc_id").select(*COLUMNS)
+    """Components are of rows; of each the row with the least doc_id stays."""
+    rows = _keyed(docs)
+    linked = jaccard_join(rows, id_col="row").where("component_id <> doc_id").select(F.col("doc_id").alias("row"), "component_id")
+    linked = written(linked, "linked")
+    members = linked.union(linked.select("component_id", "component_id").distinct())
+    named = written(maybe_in(rows.select("row", "doc_id"), members, "row").join(members, "row"), "members")
+    best = named.groupBy("component_id").agg(F.min(_first())["row"].alias("keep"), F.count(F.lit(1)).alias("_n"))
+    verdicts = join_counted(named, written(best, "heads"), "component_id", "_n", "inner").where("row <> keep").select("row")
+    return without(rows, written(verdicts, "near-copies"), "row").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: A key with more than 1 / HOT_SHARE of all rows counts as hot, so there are fewer than HOT_SHARE hot keys.
 HOT_SHARE = 256
@@ -89,7 +90,7 @@ def without(rows: DataFrame, dropped: DataFrame, key: str) -> DataFrame:
     return sure.unionByName(marked.where("_maybe").drop("_maybe").join(dropped, key, "left_anti"))
 
 
-def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:
+def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """Run over Arrow batches of at most BATCH_ROWS rows; ``make`` runs once a task and returns the batch function."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 

@@ -115,6 +115,18 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3
     return map_batches(rows, make, f"doc_id {kind}, score double, predicted int")
 
 
+def clean_rows(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that score under ``threshold``, each by its own text, whatever its id."""
+
+    def make():
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+            return batch.filter(pa.array(model.score([t or "" for t in batch.column(batch.schema.names.index(text_col)).to_pylist()]) < threshold))
+
+        return each
+
+    return map_batches(docs, make, docs.schema)
+
+
 def train_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, **settings) -> ToxicityModel:
     """Fit on the labelled documents outside the held-out fold. A document with several labels counts once for each."""
     known = labels.where(F.col("toxic").isNotNull()).select(F.col("doc_id").alias("_id"), F.col("toxic").alias("_y")).where(fold(F.col("_id"), folds) != held_out)

@@ -469,3 +469,30 @@ def test_pipeline_stages(spark, sf):
     check_sequences(packed)
     assert {r["doc_id"] for r in packed} == {k for k, v in drawn.items() if v}
     assert p.run(spark, sf).count() == len(packed)
+
+
+def test_pipeline_stages_drop_null_and_repeated_ids(spark, sf):
+    import corpus_pipeline as p
+
+    stages = dict(p.STAGES)
+    rng = random.Random(5)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    ids = [r["doc_id"] for r in toxicity.score_toxicity(docs, toxicity.train_toxicity(docs, common.table(spark, sf, "labels"))).where("predicted = 1").collect()]
+    bad = docs.where(F.col("doc_id") == ids[0]).first()["text"]
+    one, two, three = words(rng, 80), words(rng, 80), words(rng, 80)
+
+    def frame(rows):
+        return spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+
+    def kept(name, rows):
+        return sorted(((r["doc_id"], r["text"]) for r in stages[name](spark, rows, sf).collect()), key=repr)
+
+    clean = docs.join(docs.where(F.col("doc_id").isin(ids)).select("doc_id"), "doc_id", "left_anti").select(*p.COLUMNS)
+    first = kept("toxicity", docs.select(*p.COLUMNS).union(frame([(None, bad), (None, bad), (None, one)])))
+    assert first == sorted([(r["doc_id"], r["text"]) for r in clean.collect()] + [(None, one)], key=repr)
+    rows = [(7, one), (7, one), (None, one), (3, two), (9, two), (None, three), (None, three), (5, None), (None, "")]
+    assert kept("exact_dedup", frame(rows)) == sorted([(7, one), (3, two), (None, three), (5, None)], key=repr)
+    near = [(7, one), (7, one), (None, one + " more"), (3, two), (2, two + " more"), (None, three), (None, three + " more"), (4, None), (None, "")]
+    got = kept("ngram_jaccard", frame(near))
+    assert [x for x in got if x[0]] == sorted([(7, one), (2, two + " more"), (4, None)], key=repr)
+    assert sum(x[0] is None and bool(x[1]) for x in got) == 1 and (None, "") in got
