@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from findoc.functions.tokens import lexical_tokens
-from findoc.operators.parse import chunk_documents
+from findoc.operators.parse import chunk_documents, words
 
 
 def document_stream(spark: SparkSession, path: str, schema: str = "doc_id bigint, text string", files: int = 64) -> DataFrame:
@@ -19,22 +19,36 @@ def document_stream(spark: SparkSession, path: str, schema: str = "doc_id bigint
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
-def index_stream(stream: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+def _marked(own: int) -> Callable[[Column], Column]:
+    return lambda t: F.struct(t.alias("term"), F.lit(own).alias("own"))
+
+
+def index_stream(stream: DataFrame, path: str, checkpoint: str, available_now: bool = True, size: int = 500, overlap: int = 100) -> StreamingQuery:
     """Parse and tokenise each batch into ``path``: chunks, and postings with the batch's number.
 
-    A batch that runs again replaces what it wrote before, so nothing is counted twice after a failure.
+    A posting's ``own`` counts what the chunk's next window does not repeat, so own counts add up to the documents'. A
+    batch that runs again replaces what it wrote before, so nothing is counted twice after a failure.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        chunks = chunk_documents(batch)
+        chunks = chunk_documents(batch, size, overlap)
         chunks.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/chunks/batch={number}")
-        terms = chunks.select("chunk_id", F.explode(lexical_tokens(F.col("content"))).alias("term"))
-        terms.groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf")).write.mode("overwrite").parquet(f"{path}/postings/batch={number}")
+        window, step = F.col("start_idx").isNotNull(), size - overlap
+        own = F.when(window, F.array_join(F.slice(words(F.col("content")), 1, step), " ")).otherwise(F.col("content"))
+        again = F.when(window, F.array_join(F.slice(words(F.col("content")), step + 1, overlap), " ")).otherwise("")
+        found = F.concat(*[F.transform(lexical_tokens(text), _marked(n)) for text, n in ((own, 1), (again, 0))])
+        terms = chunks.select("chunk_id", F.explode(found).alias("t")).select("chunk_id", "t.*")
+        terms.groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.sum("own").alias("own")).write.mode("overwrite").parquet(f"{path}/postings/batch={number}")
 
     out = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (out.trigger(availableNow=True) if available_now else out).start()
 
 
+def posting_counts(spark: SparkSession, path: str) -> DataFrame:
+    """(term, tf) over the postings that ``index_stream`` wrote, the overlap of windows counted once."""
+    return spark.read.parquet(f"{path}/postings").groupBy("term").agg(F.sum("own").alias("tf")).where("tf > 0")
+
+
 def term_counts(stream: DataFrame) -> DataFrame:
     """(term, tf) over everything that has come: a running aggregation for the memory or update sinks."""
     return stream.select(F.explode(lexical_tokens(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("tf"))

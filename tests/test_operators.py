@@ -1,5 +1,6 @@
 """What the whole-table queries do not show: empty inputs, nulls, ties, errors, state."""
 
+import shutil
 import time
 from collections import Counter, OrderedDict
 
@@ -218,6 +219,17 @@ def test_streams(spark, tmp_path):
     assert {tuple(r) for r in spark.table("terms").collect()} == {("alpha", 2), ("beta", 1)}
 
 
+def test_stream_counts_come_from_its_postings(spark, tmp_path):
+    texts = [" ".join(f"w{k * k % 37}" for k in range(n)) for n in (950, 400, 501, 800)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(2).write.parquet(str(tmp_path / "in"))
+    stream = incremental.document_stream(spark, str(tmp_path / "in"), files=1)
+    incremental.index_stream(stream, str(tmp_path / "out"), str(tmp_path / "mark")).awaitTermination()
+    got = {r["term"]: r["tf"] for r in incremental.posting_counts(spark, str(tmp_path / "out")).collect()}
+    assert got == Counter(" ".join(texts).split())
+    shutil.rmtree(tmp_path / "out" / "postings" / "batch=1")  # what the stream lost is missing
+    assert sum(r["tf"] for r in incremental.posting_counts(spark, str(tmp_path / "out")).collect()) < sum(got.values())
+
+
 def test_cached_answers_stream(spark, tmp_path):
     import datetime as dt
 
