@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from findoc.llm.common import few, written
+from findoc.llm.common import few, release, written
 
 
 def _stars(edges: DataFrame, large: bool, n: int) -> DataFrame:
@@ -22,13 +22,19 @@ def _stars(edges: DataFrame, large: bool, n: int) -> DataFrame:
 
 
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
-    """(node, component) for every node of ``links``; the component is its least node. Null ends and self-links do not count."""
+    """(node, component) for every node of ``links``; the component is its least node. Null ends and self-links do not count.
+
+    Each round's edges are written; those of the round before go.
+    """
     edges = written(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).distinct(), "links")
     state = None
     while True:
         now = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if now["n"] == 0 or now == state:
             break
-        state, n = now, now["n"]
+        state, n, old = now, now["n"], edges
         edges = written(few(_stars(_stars(edges, True, n), False, n).distinct(), n), "stars")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())
+        release(old)
+    named = written(few(edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v").distinct()), 2 * (now["n"] or 0)), "components")
+    release(edges)
+    return named

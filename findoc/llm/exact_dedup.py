@@ -1,75 +1,93 @@
 """Exact deduplication through a log-structured merge index of digests, in DataFrame operations only.
 
-Every input split fills a memtable (a partial aggregation by digest); memtables are flushed as runs sorted by digest,
-with Parquet Bloom filters. Compaction merges runs, ``fan_in`` at a time, and keeps for each digest the smallest
-identifier in the order asked for and the number of rows. Documents look their digest up in the compacted run; the
-texts of those that hit a digest with more than one row are compared byte by byte, and digests under which texts
-differ are resolved by the texts.
+Every input split fills a memtable (a partial aggregation by digest); the memtables are flushed as runs sorted by digest.
+Compaction merges ``fan_in`` runs of a level into one of the next, level by level until one run is left, and keeps for each
+digest the smallest identifier in the order asked for and the number of rows. The last run carries a filter of the digests
+that came more than once. Documents whose digest passes the filter look it up in the run; the texts of those hits are
+compared byte by byte, and digests under which texts differ are resolved by the texts.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from findoc.llm.common import join_counted, maybe_in, shared_dir
+from findoc.llm.common import filter_of, join_counted, passing, release, written
 
-_FILTER = {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.max.bytes": "262144"}
+#: Memtables of a flush.
+MEMTABLES = 16
 
 
 class DigestIndex:
     """Runs of (digest, keep_id, n), sorted by digest, in the shared folder.
 
-    ``levels`` lists, per level, the runs that are alive. A run is only listed once its write is complete, so a lost
-    executor or a repeated task leaves the index as it was.
+    ``levels`` holds for each level its table and how many runs that has. A table takes the place of another only once its
+    write is complete, so a lost executor or a repeated task leaves the index as it was.
     """
 
-    def __init__(self, spark, keep: str = "smallest", fan_in: int = 8):
+    def __init__(self, spark, keep: str = "smallest", fan_in: int = 4):
         if keep not in ("smallest", "largest"):
             raise ValueError("keep is 'smallest' or 'largest'")
         self.spark, self.fan_in = spark, max(2, fan_in)
         self.best = F.min if keep == "smallest" else F.max
-        self.path = f"{shared_dir(spark)}/findoc/{uuid.uuid4().hex}/digests"
-        self.levels: list[list[str]] = [[]]
-        self.schema: str | None = None
-
-    def flush(self, entries: DataFrame, memtables: int = 8) -> None:
-        """``entries``: (digest, id). Each memtable takes every memtables-th input split and becomes one sorted run."""
-        runs = (
-            entries.withColumn("run", F.pmod(F.spark_partition_id(), F.lit(memtables)))
-            .groupBy("run", "digest")
-            .agg(self.best("id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
-        )
-        at = f"{self.path}/level=0/{uuid.uuid4().hex}"
-        runs.sortWithinPartitions("run", "digest").write.options(**_FILTER).partitionBy("run").parquet(at)
-        self.schema = f"digest string, keep_id {dict(entries.dtypes)['id']}, n bigint"
-        self.levels[0].append(at)
-
-    def runs(self, paths: list[str]) -> DataFrame:
-        if not paths:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).option("recursiveFileLookup", "true").parquet(*paths)
-
-    def compact(self, level: int = 0) -> DataFrame:
-        """Merge the runs of ``level`` and below into one run of the next level; the smallest identifier of a digest stays."""
-        old = [p for runs in self.levels[: level + 1] for p in runs]
-        merged = self.runs(old).groupBy("digest").agg(self.best("keep_id").alias("keep_id"), F.sum("n").alias("n"))
-        at = f"{self.path}/level={level + 1}/{uuid.uuid4().hex}"
-        merged.sortWithinPartitions("digest").write.options(**_FILTER).parquet(at)
-        self.levels = [[] for _ in self.levels[: level + 1]] + (self.levels[level + 1 :] or [[]])
-        self.levels[level + 1].append(at)
-        if len(self.levels[level + 1]) >= self.fan_in:
-            return self.compact(level + 1)
+        self.levels: list[tuple[list[DataFrame], int]] = [([], 0)]
+        self.history: list[int] = []  # runs that compactions took in
+        self.filter: DataFrame | None = None
+
+    def _merged(self, rows: DataFrame, *keys: Column | str) -> DataFrame:
+        return rows.groupBy(*keys).agg(self.best("keep_id").alias("keep_id"), F.sum("n").alias("n"))
+
+    def _put(self, level: int, tables: list[DataFrame], runs: int) -> None:
+        self.levels += [([], 0)] * (level + 1 - len(self.levels))
+        self.levels[level] = (tables, runs)
+
+    def flush(self, entries: DataFrame, memtables: int = MEMTABLES) -> None:
+        """``entries``: (digest, id). Each memtable takes every memtables-th input split and becomes one sorted run of level 0."""
+        tables, runs = self.levels[0]
+        run = F.pmod(F.spark_partition_id(), F.lit(memtables)) + runs
+        filled = self._merged(entries.select(run.alias("run"), "digest", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("n")), "run", "digest")
+        self._put(0, [*tables, written(filled.sortWithinPartitions("run", "digest"), "level-0")], runs + memtables)
+        if self.filter is not None:
+            release(self.filter)
+            self.filter = None
+
+    def compact(self) -> DataFrame:
+        """Merge level after level, ``fan_in`` runs into one, until a single run is left; its repeated digests become the filter."""
+        level = 0
+        while level < len(self.levels) - 1 or self.levels[level][1] > 1:
+            tables, runs = self.levels[level]
+            if runs:
+                there, own = self.levels[level + 1] if level + 1 < len(self.levels) else ([], 0)
+                groups = -(-runs // self.fan_in)
+                merged = self._merged(self._union(tables), F.floor(F.col("run") / self.fan_in).cast("int").alias("run"), "digest")
+                if own:  # runs that are there already keep their numbers
+                    merged = merged.withColumn("run", F.col("run") + own)
+                new = written(merged.sortWithinPartitions("run", "digest"), f"level-{level + 1}")
+                self.history.append(runs)
+                self._put(level + 1, [*there, new], own + groups)
+                self._put(level, [], 0)
+                release(*tables)
+            level += 1
+        if self.filter is not None:
+            release(self.filter)
+        self.filter = written(filter_of(self.view().where("n > 1"), "digest").coalesce(4), "filter")
         return self.view()
 
+    def _union(self, tables: list[DataFrame]) -> DataFrame:
+        out = tables[0]
+        for table in tables[1:]:
+            out = out.unionByName(table)
+        return out
+
     def view(self) -> DataFrame:
-        """(digest, keep_id, n) over all runs."""
-        alive = [p for runs in self.levels for p in runs]
-        if len(alive) <= 1:
-            return self.runs(alive)
-        return self.runs(alive).groupBy("digest").agg(self.best("keep_id").alias("keep_id"), F.sum("n").alias("n"))
+        """(digest, keep_id, n) over all runs; an index of one run is read as it is."""
+        tables = [t for held, _ in self.levels for t in held]
+        rows = self._union(tables).select("digest", "keep_id", "n")
+        return rows if sum(n for _, n in self.levels) == 1 else self._merged(rows, "digest")
+
+    def hits(self, rows: DataFrame) -> DataFrame:
+        """The ``rows`` (with a digest) that may be of a repeated digest, by the filter of the last compaction."""
+        return passing(rows, self.filter, "digest")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", digest_bits: int = 256, normalise: Column | None = None) -> DataFrame:
@@ -88,7 +106,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     index.flush(rows.select("digest", "id"))
     view = index.compact()
     shared = view.where("n > 1").withColumnsRenamed({"keep_id": "_keep", "n": "_n"})
-    hits = maybe_in(rows.select("digest", "text", "id"), shared, "digest")
+    hits = index.hits(rows.select("digest", "text", "id"))
     # the bytes decide: texts of one digest that are equal fold into one row before they are shuffled
     classes = hits.groupBy("digest", "text").agg(index.best("id").alias("_text_keep"), F.count(F.lit(1)).alias("_text_n"))
     clash = classes.groupBy("digest").count().where("count > 1").select("digest")

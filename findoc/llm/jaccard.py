@@ -4,14 +4,16 @@ Every text is a set of distinct word shingles, held as 64-bit hashes. Sets are s
 first, that follows counts over all documents in a sketch of fixed size (the order decides the work, never the result).
 If two sets of sizes x and y link, the first ``x - ceil(t x) + l`` and ``y - ceil(t y) + l`` shingles of theirs share at
 least l. Each document picks its own l: a longer prefix costs more postings but asks for more shared shingles before a
-pair is verified; the cheaper choice by the sketch's counts is taken. A pair of sizes x and y needs an overlap of
+pair is verified; the choice that costs least by the sketch's estimate of candidates is taken. A pair of sizes x and y needs an overlap of
 o = ceil(t (x + y) / (1 + t)), so of its shared shingles only those count that stand among the first x - o + l and
 y - o + l, and with the smaller l of the two there must be l of them.
 
 Equal sets fold into one class first. Pairs are then found in two phases, so that a group of n near copies costs about n
-verifications, not n squared: first each member of a shingle's list is verified against one head of the list, the member
-whose own prefix holds the largest share of shingles that others hold too, and components are formed; then the lists that still hold two components or more give every pair of different components
-that shares enough. The second phase is exact: a link between components is a pair that it verifies.
+verifications, not n squared: first each member of a shingle's list is paired with one head of the list, the member
+whose own prefix holds the largest share of shingles that others hold too, the pairs that share l of them are verified and
+components are formed; then the lists that still hold two components or more give every pair of different components that
+shares l. The second phase is exact: a link between components is a pair that it verifies. Long lists are dealt into salted
+parts, and two parts of a list meet in a task of their own.
 """
 
 from __future__ import annotations
@@ -24,15 +26,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from findoc.llm.common import BATCH_ROWS, few, map_batches, maybe_in, written
+from findoc.llm.common import BATCH_ROWS, few, join_counted, map_batches, maybe_in, release, written
 from findoc.llm.components import components
 from findoc.llm.shingles import mixed, shingles
 
 #: Counters of the sketch that orders shingles (8 MB), its bits, and how many counters make a row.
 BITS = 21
 COUNTERS, CHUNK = 1 << BITS, 1 << 13
-#: Longest extra prefix, and what a verification costs in postings.
-MOST_MATCHES, VERIFY = 4, 20
+#: The most matches that a prefix asks for, and what a verification costs in postings.
+MOST_MATCHES, VERIFY = 4, 50
+#: Signatures that a task remembers, so that copies count once; forgetting them costs work, never a result.
+REMEMBERED = 1 << 16
 #: A shingle's list is dealt into salted parts of about this many rows, or 1 / 512 of all documents.
 PART = 1000
 
@@ -70,13 +74,14 @@ def _add_packed(sums: np.ndarray, part: bytes) -> None:
 def describe(docs: DataFrame, width: int) -> DataFrame:
     """Rows of two sorts in one pass: (doc_id, n, s1, s2) for each document, (chunk, counts) for parts of each task's sketch."""
     kind = _id_kind(docs, "doc_id")
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     names = ["doc_id", "n", "s1", "s2", "chunk", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, id_type, seen = np.zeros(COUNTERS, dtype=np.uint32), None, set()
-        for batch in batches:
+        for batch in (whole.slice(at, BATCH_ROWS) for whole in batches for at in range(0, whole.num_rows, BATCH_ROWS)):
             n, one, two = [], [], []
+            if len(seen) > REMEMBERED:
+                seen.clear()
             for text in batch.column(1).to_pylist():
                 tokens = shingles(text, width)
                 n.append(len(tokens))
@@ -115,16 +120,21 @@ def sketch(described: DataFrame) -> np.ndarray:
     return np.minimum(counts, 0xFFFFFFFF).astype(np.uint32)
 
 
-def choose_matches(frequency: np.ndarray, base: int, most: int) -> int:
-    """The l whose prefix, ``base + l - 1`` shingles long, costs least: its postings, and VERIFY for each pair they may make.
+def choose_matches(frequency: np.ndarray, base: int, most: int, n_docs: int, verify: float = VERIFY) -> int:
+    """The l whose prefix, the first ``base + l - 1`` shingles, costs least: its postings, and ``verify`` for each candidate.
 
-    A document that shares l shingles is in a list other than the l - 1 longest, so those left bound the pairs.
+    ``frequency`` holds how many other documents have each shingle. As if shingles fell independently, about
+    e_l(frequency) / n_docs ** (l - 1) documents share l of them (e_l: the elementary symmetric polynomial); and no more than
+    1 / l of all postings, for each such document takes l.
     """
+    f = frequency[: base + most - 1].astype(np.float64)
+    reached, lists = np.ones(len(f)), np.cumsum(f)
     best, cost = 1, None
     for l in range(1, most + 1):
-        own = frequency[: base + l - 1]
-        total = float(own.sum())
-        total += VERIFY * (total - float(np.sort(own)[len(own) - l + 1 :].sum()))
+        # reached[i]: documents estimated to share l of the first i + 1
+        reached = np.cumsum(f * (reached if l == 1 else np.concatenate(([0.0], reached[:-1])) / max(n_docs, 1)))
+        at = min(base + l - 1, len(f)) - 1
+        total = lists[at] + verify * min(reached[at], lists[at] / l)
         if cost is None or total < cost:
             best, cost = l, total
     return best
@@ -134,13 +144,15 @@ def postings(docs: DataFrame, counts: np.ndarray, width: int, percent: int, n_do
     """(token, salt, s1, n, pos, l, share) of every class's prefix: the set's size, the shingle's place in the order, the l
     chosen, and how many 255ths of the set the sketch shows to be common."""
     noise = float(counts.sum()) / COUNTERS
-    part, common = max(PART, n_docs / 512), noise + 4 * noise**0.5 + 4
+    part, common, most = max(PART, n_docs / 512), noise + 4 * noise**0.5 + 4, MOST_MATCHES
 
     def make():
         seen: set[int] = set()
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             token, salt, one, size, place, chosen, share = [], [], [], [], [], [], []
+            if len(seen) > REMEMBERED:
+                seen.clear()
             for text in batch.column(0).to_pylist():
                 tokens = shingles(text, width)
                 n = len(tokens)
@@ -153,7 +165,7 @@ def postings(docs: DataFrame, counts: np.ndarray, width: int, percent: int, n_do
                 count = counts[(tokens >> np.uint64(64 - BITS)).astype(np.int64)]
                 least = -(-percent * n // 100)
                 base = n - least + 1
-                take = min(n, base + MOST_MATCHES - 1)
+                take = min(n, base + most - 1)
                 order = np.lexsort((tokens, count)) if take == n else np.argpartition(count, take - 1)
                 if take < n:  # ties at the border must be cut by the same order everywhere
                     edge = count[order[take - 1]]
@@ -161,7 +173,7 @@ def postings(docs: DataFrame, counts: np.ndarray, width: int, percent: int, n_do
                     order = sure[np.lexsort((tokens[sure], count[sure]))]
                 order = order[:take]
                 rare = np.maximum(count[order].astype(np.float64) - noise, 0)
-                l = choose_matches(rare, base, min(MOST_MATCHES, least, take - base + 1))
+                l = choose_matches(np.maximum(count[order] - common, 0), base, min(most, least, take - base + 1), n_docs)
                 order, rare = order[: base + l - 1], rare[: base + l - 1]
                 parts = np.ceil(rare / part).astype(np.int64)
                 token.append(tokens[order].view(np.int64))
@@ -221,39 +233,47 @@ def _counts(x: str, y: str, percent: int) -> Column:
 
 
 def _star_pairs(live: DataFrame, percent: int) -> DataFrame:
-    """(x, y) of s1: each member with the head of its part of a list, and these with the head of the list; the best two a member."""
-    near = live.where("s1 <> h.s1").where(_counts("", "h.", percent)).select(F.col("s1").alias("x"), F.col("h.s1").alias("y"))
+    """(x, y) of s1 that share enough: each member with the head of its part of a list, and these with the head of the list; the best two a member."""
+    near = live.where("s1 <> h.s1").where(_counts("", "h.", percent)).select(F.col("s1").alias("x"), F.col("h.s1").alias("y"), F.least("l", "h.l").alias("l"))
     parted = live.where("salt > 0").groupBy("token", "salt").agg(F.max("h").alias("h"))
     tops = parted.groupBy("token").agg(F.max("h").alias("t"))
-    across = parted.join(tops, "token").where("h.s1 <> t.s1").select(F.col("h.s1").alias("x"), F.col("t.s1").alias("y"))
-    shared = near.union(across).groupBy("x", "y").agg(F.count(F.lit(1)).alias("shared"))
+    across = parted.join(tops, "token").where("h.s1 <> t.s1").where(_counts("h.", "t.", percent)).select(F.col("h.s1").alias("x"), F.col("t.s1").alias("y"), F.least("h.l", "t.l").alias("l"))
+    shared = near.union(across).groupBy("x", "y").agg(F.count(F.lit(1)).alias("shared"), F.max("l").alias("l")).where("shared >= l")
     best = shared.groupBy("x").agg(F.max(F.struct("shared", "y")).alias("one"), F.max_by("y", F.struct(F.col("shared") >= 3, "y")).alias("two"))
     return best.select("x", F.explode(F.array_distinct(F.array("one.y", "two"))).alias("y"))
 
 
 def _mixed_lists(named: DataFrame) -> DataFrame:
-    """The rows of lists that hold several parts, with the list's largest part (major).
+    """The rows of lists that hold several components, with the list's largest component (major) and its number of parts.
 
-    Short lists are decided by windows over one shuffle; parted ones, which may be of any length, by aggregates.
+    Short lists are decided by windows over one shuffle; salted ones, which may be of any length, by aggregates.
     """
     of_part, of_list = Window.partitionBy("token", "part"), Window.partitionBy("token")
     short = named.where("salt = 0").repartition("token").withColumn("k", F.count(F.lit(1)).over(of_part))
     short = short.withColumns({"major": F.max(F.struct("k", "part")).over(of_list)["part"], "low": F.min("part").over(of_list), "high": F.max("part").over(of_list)}).where("low <> high").drop("k", "low", "high")
     long = named.where("salt > 0")
     sizes = long.groupBy("token", "part").agg(F.count(F.lit(1)).alias("k"))
-    majors = sizes.groupBy("token").agg(F.count(F.lit(1)).alias("parts"), F.max_by("part", F.struct("k", "part")).alias("major")).where("parts > 1")
-    return short.unionByName(long.join(majors.select("token", "major"), "token"))
+    majors = sizes.groupBy("token").agg(F.count(F.lit(1)).alias("several"), F.max_by("part", F.struct("k", "part")).alias("major"), F.sum("k").alias("k")).where("several > 1")
+    parts = F.ceil(F.col("k") / PART).cast("int").alias("parts")
+    return short.withColumn("parts", F.lit(1)).unionByName(long.join(majors.select("token", "major", parts), "token"))
+
 
+def _rest_pairs(live: DataFrame, parts: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(x, y) of s1 in different components that share enough prefix shingles, and the table they come from. ``parts``: (s1, part) where it is known.
 
-def _rest_pairs(live: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
-    """(x, y) of s1 in different components that share enough prefix shingles. ``parts``: (s1, part) where it is known."""
+    A list of p parts is p times p tiles: one side's rows go to a row of tiles, the other's to a column, so that no task
+    joins a whole long list with itself.
+    """
     named = live.select("token", "salt", "s1", "n", "pos", "l").join(parts, "s1", "left").withColumn("part", F.coalesce("part", "s1"))
     rest = written(_mixed_lists(named), "mixed-lists")
+    own, every = F.pmod(F.xxhash64("s1", F.lit(3)), F.col("parts")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     # one side is never of the list's largest component, so a large component is not joined with itself
-    o, r = rest.where("part <> major").alias("o"), rest.alias("r")
-    fits = (F.col("o.token") == F.col("r.token")) & (F.col("o.part") != F.col("r.part")) & ((F.col("r.part") == F.col("r.major")) | (F.col("o.s1") < F.col("r.s1")))
+    o = rest.where("part <> major").withColumn("one", own).withColumn("two", every).alias("o")
+    r = rest.withColumn("two", own).withColumn("one", every).alias("r")
+    tile = (F.col("o.token") == F.col("r.token")) & (F.col("o.one") == F.col("r.one")) & (F.col("o.two") == F.col("r.two"))
+    fits = tile & (F.col("o.part") != F.col("r.part")) & ((F.col("r.part") == F.col("r.major")) | (F.col("o.s1") < F.col("r.s1")))
     pairs = o.join(r, fits & _counts("o.", "r.", percent)).select(F.least("o.s1", "r.s1").alias("x"), F.greatest("o.s1", "r.s1").alias("y"), F.least("o.l", "r.l").alias("l"))
-    return pairs.groupBy("x", "y").agg(F.count(F.lit(1)).alias("shared"), F.max("l").alias("l")).where("shared >= l").select("x", "y")
+    return pairs.groupBy("x", "y").agg(F.count(F.lit(1)).alias("shared"), F.max("l").alias("l")).where("shared >= l").select("x", "y"), rest
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
@@ -265,7 +285,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     kind = _id_kind(docs, id_col)
     rows = docs.select(F.col(id_col).cast(kind).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    both = written(describe(rows, width), "described")
+    both = written(describe(rows, width), "described", BATCH_ROWS)
     sets = both.where("chunk is null").select("doc_id", "n", "s1", "s2")
     n_docs = sets.count()
     whole = postings(rows.where("doc_id is not null"), sketch(both), width, percent, n_docs)
@@ -273,9 +293,9 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     head = F.max(F.struct("share", "s1", "n", "pos", "l")).over(span)
     live = whole.withColumns({"least": F.min("s1").over(span), "most": F.max("s1").over(span), "h": head}).where("salt > 0 or least <> most")
     # a class that several tasks met has equal rows, which are in one partition by now
-    live = written(live.select("token", "salt", "s1", "n", "pos", "l", F.struct("h.s1", "h.n", "h.pos", "h.l").alias("h")).dropDuplicates(["token", "salt", "s1"]), "live-postings")
+    live = written(live.select("token", "salt", "s1", "n", "pos", "l", F.struct("h.s1", "h.n", "h.pos", "h.l").alias("h")).dropDuplicates(["token", "salt", "s1"]), "live-postings", BATCH_ROWS)
     n_live = live.count()
-    classes = sets.where("n > 0 and doc_id is not null").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("node"))
+    classes = sets.where("n > 0 and doc_id is not null").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("members"))
     nodes = written(few(few(classes, n_docs).select("s1", "node").join(few(live.select("s1").distinct(), n_live), "s1"), n_docs), "live-classes")
     known = rows.where("doc_id is not null").withColumnRenamed("doc_id", "node")
 
@@ -283,21 +303,24 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         named = few(few(pairs, n_live).join(nodes.toDF("x", "a"), "x"), n_live).join(nodes.toDF("y", "b"), "y")
         named = written(few(named.where("a <> b").select("a", "b"), n_live), "pairs")
         asked = written(few(named.select(F.explode(F.array("a", "b")).alias("node")).distinct(), n_docs), "asked")
-        texts = maybe_in(known, asked, "node").join(asked, "node", "left_semi").dropDuplicates(["node"])
-        return written(verified(named, written(texts, "texts"), width, percent), "links")
+        texts = written(maybe_in(known, asked, "node").join(asked, "node", "left_semi").dropDuplicates(["node"]), "texts")
+        links = written(verified(named, texts, width, percent), "links", BATCH_ROWS)
+        release(named, asked, texts)
+        return links
 
     links = check(_star_pairs(live, percent))
     first = components(links, "a", "b")
     # labels in terms of s1; an s1 of several classes stays by itself, so that no pair of it is passed over
     single = nodes.groupBy("s1").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("k")).where("k = 1").select("s1", "node")
     parts = few(single, n_docs).join(first, "node").select("s1", F.col("component").alias("node")).join(nodes.select("node", F.col("s1").alias("part")), "node").select("s1", "part")
-    more = check(_rest_pairs(live, written(few(parts, n_docs), "parts"), percent))
-    label = written(few(components(first.toDF("a", "b").union(more), "a", "b"), n_docs), "components")
-    named = classes.join(label.withColumnRenamed("component", "c"), "node", "left").select("s1", "s2", "n", F.coalesce("c", "node").alias("component_id"))
-    return _labelled(sets, named)
-
-
-def _labelled(sets: DataFrame, named: DataFrame) -> DataFrame:
-    """Each document with its class's component. A class may hold a third of all rows; the join's plain shuffle can be split where it is hot."""
-    out = sets.join(named, ["s1", "s2", "n"], "left")
+    parts = written(few(parts, n_docs), "parts")
+    pairs, rest = _rest_pairs(live, parts, percent)
+    more = check(pairs)
+    label = components(first.toDF("a", "b").union(more), "a", "b")
+    release(live, nodes, links, parts, rest, more, first)
+    named = classes.join(label.withColumnRenamed("component", "c"), "node", "left").select(F.struct("s1", "s2", "n").alias("class"), F.coalesce("c", "node").alias("component_id"), "members")
+    named = written(named, "classes")
+    release(label)
+    # a class may hold a third of all rows
+    out = join_counted(sets.withColumn("class", F.struct("s1", "s2", "n")), named, "class", "members")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id")).alias("component_id"))

@@ -247,10 +247,25 @@ def test_jaccard_odd_tables(spark):
     assert sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_join(rows).collect()) == [(0, 2, None), (3, 2, 3)]
 
 
-def test_prefixes_lengthen_where_one_list_dominates():
-    rare = np.array([0.0] * 10 + [5000.0, 0.0, 0.0, 0.0])
-    assert jaccard.choose_matches(rare, 11, 4) == 2
-    assert jaccard.choose_matches(np.zeros(14), 11, 4) == 1
+def test_prefixes_lengthen_where_candidates_are_many():
+    assert jaccard.choose_matches(np.zeros(14), 11, 4, 1000) == 1
+    assert jaccard.choose_matches(np.array([0.0] * 11 + [3.0, 9, 9]), 11, 4, 1000) == 1
+    assert jaccard.choose_matches(np.full(14, 30.0), 11, 4, 100_000) == 2
+    assert jaccard.choose_matches(np.full(34, 3000.0), 31, 4, 100_000) == 4
+
+
+def test_multi_match_prefixes_find_what_all_pairs_find(spark):
+    """Texts of a small vocabulary of phrases share many shingles without linking: most prefixes ask for several matches."""
+    rng = random.Random(4)
+    phrases = [words(rng, 14) for _ in range(40)]
+    texts = [" ".join(rng.choice(phrases) for _ in range(rng.randrange(3, 9))) for _ in range(260)]
+    texts += [mutated(rng, t, 1) for t in texts[:60]]
+    df = docs(spark, texts)
+    counts = jaccard.sketch(jaccard.describe(df.select("doc_id", "text"), 5))
+    asked = {r["l"]: r["count"] for r in jaccard.postings(df, counts, 5, 75, len(texts)).select("s1", "l").distinct().groupBy("l").count().collect()}
+    assert sum(k for l, k in asked.items() if l > 1) > 150 and len(asked) > 1
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_join(df).collect()}
+    assert got == plain_components(list(enumerate(texts)))
 
 
 def test_word_hashes_follow_the_words(monkeypatch):
@@ -289,13 +304,19 @@ def test_dedup_equals_grouping_even_if_digests_collide(spark, bits, keep):
         assert got[k]["text_sha256"] == hashlib.sha256((t or "").encode()).hexdigest()
 
 
-def test_dedup_index_grows_by_runs(spark):
+def test_dedup_index_grows_by_runs_and_levels(spark):
     index = exact_dedup.DigestIndex(spark, fan_in=2)
     for k in range(4):
-        index.flush(spark.createDataFrame([("a", 10 - k), (f"own{k}", k)], "digest string, id long"), memtables=2)
-        index.compact()
+        rows = spark.createDataFrame([("a", 10 - k), (f"own{k}", k)], "digest string, id long").repartition(6)
+        index.flush(rows, memtables=6)
+        assert index.view().where("digest = 'a'").collect()[0]["n"] == k + 1
+    index.compact()
+    assert index.history[-4:] == [24, 12, 6, 3] or sorted(index.history, reverse=True)[:3] == [24, 12, 6]
+    assert len(index.levels) == 6 and sum(n for _, n in index.levels) == 1
     got = {r["digest"]: (r["keep_id"], r["n"]) for r in index.view().collect()}
     assert got == {"a": (7, 4)} | {f"own{k}": (k, 1) for k in range(4)}
+    probe = spark.createDataFrame([("a",), ("own1",), ("none",)], "digest string")
+    assert [r["digest"] for r in index.hits(probe).collect()] == ["a"]
 
 
 def test_dedup_odd_tables(spark):
