@@ -1,9 +1,10 @@
 """Secret scan with corpus-wide ownership frequency.
 
 A pass over every whole text finds base spans (assignments, access keys, long hex runs) and candidate tokens that no
-base span covers. Candidates are hashed and counted by distinct repositories and distinct owners over the whole corpus:
-one that many owners hold is a copied example, one that few owners hold and that looks random is treated as live and
-added to the spans. Base spans are always kept; the counts only classify them.
+base span covers. Values are hashed and counted by distinct repositories and distinct owners over the whole corpus. A value
+that many owners hold, or many repositories, is a copied example; one that looks random and that few hold is treated as
+live; the rest (a weak password, say) is neither. Live candidates are added to the spans. Base spans are always kept; the
+counts only classify them.
 """
 
 from __future__ import annotations
@@ -14,10 +15,10 @@ import re
 from collections import Counter
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from findoc.llm.common import join_counted, map_batches, written
+from findoc.llm.common import BATCH_ROWS, join_counted, map_batches, written
 
 KINDS = ("assign", "access", "hex", "token")
 
@@ -48,10 +49,13 @@ def base_spans(text: str) -> list[tuple[int, str, int, str]]:
 
 
 def extra_spans(text: str, base: list[tuple[int, str, int, str]]) -> list[tuple[int, str, int, str]]:
-    """Candidate tokens that touch no base span and look random."""
-    out = []
+    """Candidate tokens that touch no base span (``base`` is by start) and look random."""
+    out, at, reach = [], 0, 0
     for m in TOKEN.finditer(text):
-        if looks_random(m[0]) and not any(m.start() < end and start < m.end() for start, _, end, _ in base):
+        while at < len(base) and base[at][0] < m.end():
+            reach = max(reach, base[at][2])
+            at += 1
+        if reach <= m.start() and looks_random(m[0]):
             out.append((m.start(), "3", m.end(), m[0]))
     return out
 
@@ -94,23 +98,31 @@ def ownership(spans: DataFrame) -> DataFrame:
     return owners.groupBy("hash").agg(F.sum("n").alias("n_spans"), F.sum("repos").alias("n_repos"), F.count(F.lit(1)).alias("n_owners"))
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", max_owners: int = 3) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example.
+def judgement(max_owners: int, max_repos: int) -> Column:
+    """live, example or other, from random, n_owners and n_repos."""
+    few = (F.col("n_owners") <= max_owners) & (F.col("n_repos") <= max_repos)
+    return F.when(~few, "example").when(F.col("random"), "live").otherwise("other")
 
-    ``spans`` lists kind:start:end of the base spans and of the candidate tokens held by at most ``max_owners`` owners.
-    n_live counts the spans that look random and have few owners; n_example the rest. A null text is empty: no spans.
-    Found spans are written once and joined with their counts, so no text is shuffled; rows repeat as they come.
+
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", max_owners: int = 3, max_repos: int = 100) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example, n_other, most_owners, most_repos.
+
+    ``spans`` lists kind:start:end of the base spans and of the live candidate tokens. A value is an example where over
+    ``max_owners`` owners or ``max_repos`` repositories hold it; else it is live if it looks random. The three counts add up
+    to the spans; most_owners and most_repos are the greatest counts among the row's values, 0 without any. A null text is
+    empty: no spans; a null repository or owner is one of its own; ids may be null. Found spans are written once and
+    joined with their counts, so no text is shuffled; rows repeat as they come, and repeats count as one repository.
     """
     scanned = scan_texts(docs, id_col, text_col, repo_col, owner_col).withColumn("row", F.monotonically_increasing_id())
-    scanned = written(scanned, "secret-spans")
+    scanned = written(scanned, "secret-spans", BATCH_ROWS)
     spans = scanned.select("row", "repo", "owner", F.explode("found").alias("s")).select("row", "repo", "owner", "s.*")
-    owned = ownership(spans)
-    live = F.col("random") & (F.col("n_owners") <= max_owners)
-    judged = join_counted(spans.select("row", "hash", "start", "kind", "end", "random"), owned.withColumnRenamed("n_spans", "_n"), "hash", "_n", "inner")
-    judged = judged.withColumn("live", live).where((F.col("kind") < 3) | F.col("live"))
-    one = F.struct("start", "kind", "end", "live")
-    per_row = judged.groupBy("row").agg(F.array_sort(F.collect_list(one)).alias("all"))
-    joined = scanned.drop("found", "repo", "owner").join(per_row, "row", "left").withColumn("all", F.coalesce("all", F.array().cast("array<struct<start:bigint,kind:int,end:bigint,live:boolean>>")))
+    owned = written(ownership(spans).withColumnRenamed("n_spans", "_n"), "owned")
+    judged = join_counted(spans.select("row", "hash", "start", "kind", "end", "random"), owned, "hash", "_n", "inner").withColumn("verdict", judgement(max_owners, max_repos))
+    judged = judged.where((F.col("kind") < 3) | (F.col("verdict") == "live"))
+    one = F.struct("start", "kind", "end", "verdict")
+    per_row = judged.groupBy("row").agg(F.array_sort(F.collect_list(one)).alias("all"), F.max("n_owners").alias("most_owners"), F.max("n_repos").alias("most_repos"))
+    joined = scanned.drop("found", "repo", "owner").join(per_row, "row", "left").withColumn("all", F.coalesce("all", F.array().cast("array<struct<start:bigint,kind:int,end:bigint,verdict:string>>")))
     text = F.transform("all", lambda s: F.concat_ws(":", F.element_at(F.array(*map(F.lit, KINDS)), s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string")))
-    n_live = F.size(F.filter("all", lambda s: s["live"])).cast("long")
-    return joined.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", F.array_join(text, ",").alias("spans"), n_live.alias("n_live"), (F.size("all").cast("long") - n_live).alias("n_example"))
+    counts = [(F.size("all") - F.size(F.array_remove(F.transform("all", lambda s: s["verdict"]), v))).cast("long").alias(f"n_{v}") for v in ("live", "example", "other")]
+    most = [F.coalesce(c, F.lit(0)).alias(c) for c in ("most_owners", "most_repos")]
+    return joined.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", F.array_join(text, ",").alias("spans"), *counts, *most)
