@@ -1,8 +1,9 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree over block quotas.
 
 Each source's documents are dealt by a hash into blocks. The mix takes every source's blocks ``floor(target / size)``
-times in whole passes and, in a last pass, those of its permuted blocks that still fit; the first that does not is taken
-document by document, so that the words taken come nearer to the target than one document. The draws of each source are its
+times in whole passes and, in a last pass, those of its permuted blocks that still fit; the first that does not is cut into
+smaller blocks in the same way until few documents are left, which are taken one by one, so that the words taken come
+nearer to the target than half a document of these. The draws of each source are its
 exact quota of blocks. A tree splits the quotas among the output shards: at each node the left half's counts are drawn
 from the multivariate hypergeometric distribution, so every shard is a simple random sample of the whole mix and the
 quotas hold exactly. A shard's blocks are consecutive in the source's permuted order, hence disjoint, and documents are
@@ -15,10 +16,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from findoc.llm.common import written
+from findoc.llm.common import release, written
 
 #: Blocks of all sources together, at most one more for each source; a source has blocks in proportion to its words.
 BLOCKS = 4096
+#: A border block of more documents is cut into blocks of about this many, again and again.
+BORDER = 2048
 #: Sources whose numbers the driver holds and broadcasts (under 100 bytes each).
 MAX_SOURCES = 100_000
 #: Words as the contract counts them.
@@ -77,7 +80,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     ``draws`` is an array of (pass, shard, position), one for each time that the mix takes the document; it is empty for
     one that is left out, so taken words are size * size(draws). A null text has size 0 and is never drawn; a null source is a source of
-    its own. Rows that repeat an id are drawn together. No rows give no rows. Equal inputs give equal draws.
+    its own. Rows that repeat id, source and size are drawn together; ids may be null. Whole texts are counted. No rows give no
+    rows. Equal inputs give equal draws. Other columns of ``docs`` do not matter, whatever their names.
     """
     spark = docs.sparkSession
     size = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
@@ -127,13 +131,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
                 at += 1
     plan = spark.createDataFrame(draws, "_source string, block int, pass int, shard int")
     plan = plan.groupBy("_source", "block").agg(F.array_sort(F.collect_list(F.struct("pass", "shard"))).alias("_draws"))
-    edges = spark.createDataFrame([(n, b, float(left)) for n, (b, left) in border.items()], "_source string, block int, left double")
-    chosen = _border(dealt, edges)
+    edges = spark.createDataFrame([(n, b) for n, (b, _) in border.items()], "_source string, block int")
+    chosen = _border(dealt, edges, {n: float(left) for n, (_, left) in border.items()}, names, seed)
     both = rows.join(F.broadcast(facts), rows["_source"].eqNullSafe(facts["_source"])).drop(facts["_source"]).withColumn("block", block)
     both = both.join(F.broadcast(plan.withColumnsRenamed({"_source": "_s", "block": "_b"})), F.col("_source").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b")), "left")
     both = both.join(F.broadcast(edges.select(F.col("_source").alias("_es"), F.col("block").alias("_eb"))), F.col("_source").eqNullSafe(F.col("_es")) & (F.col("block") == F.col("_eb")), "left")
     # documents of a border block are drawn in the last pass only if they are chosen
-    edge = both.where(F.col("_eb").isNotNull()).join(chosen, ["doc_id", "size"], "left")
+    edge = both.where(F.col("_eb").isNotNull())
+    picked = chosen.select(F.col("_source").alias("_ps"), F.col("doc_id").alias("_pd"), F.col("size").alias("_pn"), F.lit(True).alias("_chosen"))
+    edge = edge.join(picked, F.col("_source").eqNullSafe(F.col("_ps")) & F.col("doc_id").eqNullSafe(F.col("_pd")) & (F.col("size") == F.col("_pn")), "left").drop("_ps", "_pd", "_pn")
     rest = both.where(F.col("_eb").isNull()).withColumn("_chosen", F.lit(True))
     last = F.filter("_draws", lambda d: (d["pass"] < F.col("_passes")) | F.coalesce("_chosen", F.lit(False)))
     place = F.transform(last, lambda d: F.struct(d["pass"].alias("pass"), d["shard"].alias("shard"), F.xxhash64(F.lit(seed), d["pass"], F.col("doc_id").cast("string")).alias("position")))
@@ -142,23 +148,67 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return out.select("doc_id", "size", F.col("_words").alias("source_size"), F.col("_target").alias("target"), "draws", *[F.col(f"_keep_{c}").alias(c) for c in keep if c not in ("doc_id", "size")])
 
 
-def _border(dealt: DataFrame, edges: DataFrame) -> DataFrame:
-    """(doc_id, size, _chosen) of the border blocks' documents to draw: longest first, those that still fit.
+def fit_one_by_one(sizes: list[int], left: float) -> list[bool]:
+    """Which of ``sizes`` (descending) to take towards ``left``: those that still fit, then one more if that comes nearer."""
+    kept = []
+    for size in sizes:
+        kept.append(size <= left)
+        left -= size if kept[-1] else 0
+    over = [(size, k) for k, size in enumerate(sizes) if not kept[k] and size < 2 * left]
+    if over:
+        kept[min(over)[1]] = True
+    return kept
 
-    A border block holds about 1 / BLOCKS of all words; each is one group of a grouped map.
+
+def _border(dealt: DataFrame, edges: DataFrame, left: dict, names: list, seed: int) -> DataFrame:
+    """A table (_source, doc_id, size) of the border blocks' documents to draw; ``left`` holds the words that each source still wants.
+
+    Each level cuts a source's border block of more than BORDER documents into blocks of about so many, takes those that fit and
+    goes on with the first that does not. The driver holds a number for each of these blocks; a group is never above about
+    twice BORDER documents. Rows that repeat id, source and size stand together.
     """
+    spark = dealt.sparkSession
     edges = edges.withColumnsRenamed({"_source": "_es", "block": "_eb"})
     near = dealt.join(F.broadcast(edges), F.col("_source").eqNullSafe(F.col("_es")) & (F.col("block") == F.col("_eb")))
-    # rows that repeat an id stand together
-    near = near.where("size > 0").groupBy("_source", "block", "left", "doc_id", "size").agg(F.count(F.lit(1)).alias("copies"))
-
-    def fit(group):
-        group = group.sort_values(["size", "doc_id"], ascending=[False, True])
-        left, kept = float(group["left"].iloc[0]), []
-        for words in group["size"] * group["copies"]:
-            kept.append(words <= left)
-            left -= words if kept[-1] else 0
-        return group[kept][["doc_id", "size"]].assign(_chosen=True)
-
-    kind = dict(dealt.dtypes)["doc_id"]
-    return near.groupBy("_source", "block").applyInPandas(fit, f"doc_id {kind}, size long, _chosen boolean")
+    near = written(near.where("size > 0").groupBy("_source", "doc_id", "size").agg(F.count(F.lit(1)).alias("copies")).withColumn("words", F.col("size") * F.col("copies")), "border")
+    taken, tables = [], [near]
+    for level in range(64):
+        counts = {r["_source"]: r["n"] for r in near.groupBy("_source").agg(F.count(F.lit(1)).alias("n")).collect()}
+        if max(counts.values(), default=0) <= 2 * BORDER:
+            break
+        cuts = spark.createDataFrame([(n, -(-k // BORDER) if k > 2 * BORDER else 1) for n, k in counts.items()], "_cs string, cuts long")
+        key = F.xxhash64(F.lit(seed), F.lit(100 + level), F.col("doc_id").cast("string"), "size")
+        cut = near.drop("cut").join(F.broadcast(cuts), F.col("_source").eqNullSafe(F.col("_cs"))).withColumn("cut", F.pmod(key, F.col("cuts"))).drop("_cs", "cuts")
+        sums: dict = {}
+        for r in cut.groupBy("_source", "cut").agg(F.sum("words").alias("n")).collect():
+            sums.setdefault(r["_source"], {})[r["cut"]] = int(r["n"])
+        verdicts = []
+        for n, own in sums.items():
+            edge = None
+            for k in np.random.default_rng([seed, names.index(n), 3, level]).permutation(sorted(own)):
+                if len(own) == 1 or own[k] > left[n]:
+                    if edge is None:
+                        edge = int(k)
+                        verdicts.append((n, edge, False))
+                else:
+                    left[n] -= own[k]
+                    verdicts.append((n, int(k), True))
+        marks = spark.createDataFrame(verdicts, "_vs string, _vc long, whole boolean").withColumn("there", F.lit(True))
+        cut = cut.join(F.broadcast(marks), F.col("_source").eqNullSafe(F.col("_vs")) & (F.col("cut") == F.col("_vc"))).drop("_vs", "_vc", "there")
+        cut = written(cut, "border")
+        tables.append(cut)
+        taken.append(cut.where("whole"))
+        near = cut.where("not whole").drop("whole")
+    wants = spark.createDataFrame(list(left.items()), "_ws string, want double")
+    group = near.join(F.broadcast(wants), F.col("_source").eqNullSafe(F.col("_ws"))).select("_source", "doc_id", "size", "words", "want")
+
+    def fit(rows):
+        rows = rows.sort_values(["words", "doc_id"], ascending=[False, True])
+        return rows[fit_one_by_one(rows["words"].tolist(), float(rows["want"].iloc[0]))][["_source", "doc_id", "size"]]
+
+    out = group.groupBy("_source").applyInPandas(fit, f"_source string, doc_id {dict(dealt.dtypes)['doc_id']}, size long")
+    for part in taken:
+        out = out.unionByName(part.select("_source", "doc_id", "size"))
+    out = written(out, "chosen")
+    release(*tables)
+    return out
