@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from findoc.llm.common import map_batches
-from findoc.llm.fitting import bounded_sample, fold
+from findoc.llm.common import map_batches, release
+from findoc.llm.fitting import labelled_texts
 
 STATISTICS = (
     "chars", "words", "lines", "word_length", "word_length_spread", "longest_word", "letters", "digits", "upper", "spaces",
@@ -134,31 +134,34 @@ def grow(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 4, rate: fl
     return Trees(np.stack(features), np.stack(thresholds), np.stack(values), base)
 
 
-def _with_statistics(docs: DataFrame, extra: str, kind: str) -> DataFrame:
-    """(doc_id, extra, x) of rows (doc_id, text, extra)."""
+def train_quality(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, max_rows: int = 12000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", **settings) -> Trees:
+    """Grow trees from at most ``max_rows`` labelled documents outside the held-out fold; only their statistics reach the driver.
+
+    Rows without a label or an id do not count; a null text is empty. No labels give a model without trees. Other columns
+    of both tables are ignored, whatever their names.
+    """
+    sample = labelled_texts(docs, labels, label_col, folds, held_out, max_rows, id_col, text_col)
 
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            x = [statistics(t or "") for t in batch.column(1).to_pylist()]
-            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(x, pa.list_(pa.float64()))], ["doc_id", extra, "x"])
+            x = [statistics(t) for t in batch.column(0).to_pylist()]
+            return pa.RecordBatch.from_arrays([batch.column(1), pa.array(x, pa.list_(pa.float64()))], ["y", "x"])
 
         return each
 
-    return map_batches(docs, make, f"doc_id {kind}, {extra} int, x array<double>")
-
-
-def train_quality(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, max_rows: int = 12000, **settings) -> Trees:
-    """Grow trees from at most about ``max_rows`` labelled documents outside the held-out fold."""
-    known = labels.where(F.col("quality").isNotNull()).select(F.col("doc_id").alias("_id"), (F.col("quality") > 0).cast("int").alias("_y")).where(fold(F.col("_id"), folds) != held_out)
-    known = bounded_sample(known, max_rows, "_id")
-    rows = docs.join(F.broadcast(known), docs["doc_id"] == known["_id"]).select(F.col("_id").cast("long").alias("doc_id"), docs["text"].alias("text"), F.col("_y").alias("y"))
-    got = _with_statistics(rows, "y", "bigint").toArrow().sort_by([("doc_id", "ascending"), ("y", "ascending")])
-    x = np.array(got["x"].to_pylist(), dtype=np.float64).reshape(-1, len(STATISTICS))
-    return grow(x, np.array(got["y"].to_pylist(), dtype=np.float64), **settings)
+    got = map_batches(sample.select("text", "y"), make, "y int, x array<double>").toArrow()
+    release(sample)
+    rows = sorted(zip(got["x"].to_pylist(), got["y"].to_pylist(), strict=True))  # the same trees whatever the order of rows
+    x = np.array([r[0] for r in rows], dtype=np.float64).reshape(-1, len(STATISTICS))
+    return grow(x, np.array([r[1] for r in rows], dtype=np.float64), **settings)
 
 
 def score_quality(docs: DataFrame, model: Trees, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, score (0 to 1), predicted (1 if score >= threshold). A null text scores as the empty text; rows repeat as they come."""
+    """doc_id, score (0 to 1), predicted (1 if score >= threshold) for each row of ``docs``.
+
+    A null text scores as the empty text; whole texts are read, however long. Rows repeat as they come, equal texts score
+    alike; no rows give no rows. Other columns of ``docs`` are ignored, whatever their names.
+    """
     kind = dict(docs.dtypes)[id_col]
     kind = kind if kind in ("bigint", "int", "string") else "string"
 
