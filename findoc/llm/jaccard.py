@@ -244,18 +244,22 @@ def _star_pairs(live: DataFrame, percent: int) -> DataFrame:
 
 
 def _mixed_lists(named: DataFrame) -> DataFrame:
-    """The rows of lists that hold several components, with the list's largest component (major) and its number of parts.
+    """(list, s1, n, pos, l, part, major, parts, m): the lists that hold several components, equal ones folded into one.
 
-    Short lists are decided by windows over one shuffle; salted ones, which may be of any length, by aggregates.
+    Texts that share much are together in many lists of the same members: such a list stands for its ``m`` shingles, each
+    member with the least place that it has in one of them. ``major`` is the list's largest component, ``parts`` how many
+    parts it is joined in. Short lists are decided by windows over one shuffle; salted ones, of any length, by aggregates.
     """
     of_part, of_list = Window.partitionBy("token", "part"), Window.partitionBy("token")
-    short = named.where("salt = 0").repartition("token").withColumn("k", F.count(F.lit(1)).over(of_part))
-    short = short.withColumns({"major": F.max(F.struct("k", "part")).over(of_list)["part"], "low": F.min("part").over(of_list), "high": F.max("part").over(of_list)}).where("low <> high").drop("k", "low", "high")
+    marks = {"f1": F.bit_xor(F.xxhash64("s1")), "f2": F.bit_xor(F.xxhash64("s1", F.lit(1))), "k": F.count(F.lit(1))}
+    short = named.where("salt = 0").repartition("token").withColumn("own", F.count(F.lit(1)).over(of_part))
+    short = short.withColumns({"major": F.max(F.struct("own", "part")).over(of_list)["part"], "low": F.min("part").over(of_list), "high": F.max("part").over(of_list)} | {name: f.over(of_list) for name, f in marks.items()}).where("low <> high").drop("own", "low", "high")
     long = named.where("salt > 0")
-    sizes = long.groupBy("token", "part").agg(F.count(F.lit(1)).alias("k"))
-    majors = sizes.groupBy("token").agg(F.count(F.lit(1)).alias("several"), F.max_by("part", F.struct("k", "part")).alias("major"), F.sum("k").alias("k")).where("several > 1")
-    parts = F.ceil(F.col("k") / PART).cast("int").alias("parts")
-    return short.withColumn("parts", F.lit(1)).unionByName(long.join(majors.select("token", "major", parts), "token"))
+    sizes = long.groupBy("token", "part").agg(F.count(F.lit(1)).alias("own"), F.bit_xor(F.xxhash64("s1")).alias("f1"), F.bit_xor(F.xxhash64("s1", F.lit(1))).alias("f2"))
+    majors = sizes.groupBy("token").agg(F.count(F.lit(1)).alias("several"), F.max_by("part", F.struct("own", "part")).alias("major"), F.bit_xor("f1").alias("f1"), F.bit_xor("f2").alias("f2"), F.sum("own").alias("k")).where("several > 1").drop("several")
+    every = short.unionByName(long.join(majors, "token"))
+    folded = every.groupBy(F.struct("f1", "f2", "k").alias("list"), "s1").agg(F.max("n").alias("n"), F.min("pos").alias("pos"), F.max("l").alias("l"), F.max("part").alias("part"), F.max("major").alias("major"), F.count(F.lit(1)).alias("m"))
+    return folded.withColumn("parts", F.ceil(F.col("list.k") / PART).cast("int"))
 
 
 def _rest_pairs(live: DataFrame, parts: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -270,10 +274,10 @@ def _rest_pairs(live: DataFrame, parts: DataFrame, percent: int) -> tuple[DataFr
     # one side is never of the list's largest component, so a large component is not joined with itself
     o = rest.where("part <> major").withColumn("one", own).withColumn("two", every).alias("o")
     r = rest.withColumn("two", own).withColumn("one", every).alias("r")
-    tile = (F.col("o.token") == F.col("r.token")) & (F.col("o.one") == F.col("r.one")) & (F.col("o.two") == F.col("r.two"))
+    tile = (F.col("o.list") == F.col("r.list")) & (F.col("o.one") == F.col("r.one")) & (F.col("o.two") == F.col("r.two"))
     fits = tile & (F.col("o.part") != F.col("r.part")) & ((F.col("r.part") == F.col("r.major")) | (F.col("o.s1") < F.col("r.s1")))
-    pairs = o.join(r, fits & _counts("o.", "r.", percent)).select(F.least("o.s1", "r.s1").alias("x"), F.greatest("o.s1", "r.s1").alias("y"), F.least("o.l", "r.l").alias("l"))
-    return pairs.groupBy("x", "y").agg(F.count(F.lit(1)).alias("shared"), F.max("l").alias("l")).where("shared >= l").select("x", "y"), rest
+    pairs = o.join(r, fits & _counts("o.", "r.", percent)).select(F.least("o.s1", "r.s1").alias("x"), F.greatest("o.s1", "r.s1").alias("y"), F.least("o.l", "r.l").alias("l"), F.col("o.m").alias("m"))
+    return pairs.groupBy("x", "y").agg(F.sum("m").alias("shared"), F.max("l").alias("l")).where("shared >= l").select("x", "y"), rest
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75) -> DataFrame:

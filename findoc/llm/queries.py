@@ -9,12 +9,14 @@ from findoc.llm.common import table
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact copies over all documents: of equal texts the row with the largest doc_id stays."""
     from findoc.llm.exact_dedup import exact_dedup
 
     return exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
 
 
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of five-word shingles have a similarity of 0.75 or more."""
     from findoc.llm.jaccard import jaccard_join
 
     return jaccard_join(table(spark, sf_dir, "documents"))
@@ -30,6 +32,7 @@ FROM documents
 """
 
 def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 greatest integer products of every twentieth vector with all others."""
     from findoc.llm.topk import top_k
 
     return top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
@@ -51,6 +54,7 @@ WHERE rank <= 20
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, tokenised and packed into sequences of 4,096 tokens."""
     from findoc.llm.packing import pack
     from findoc.llm.tokens import vocabulary
 
@@ -58,12 +62,14 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every text, with the corpus-wide verdict on each value. Documents are the repositories, sources their owners."""
     from findoc.llm.secrets import scan_secrets
 
     return scan_secrets(table(spark, sf_dir, "documents"))
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality score for every document; labels of the held-out fold are not learned from."""
     from findoc.llm.fitting import fold
     from findoc.llm.quality import score_quality, train_quality
 
@@ -73,6 +79,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score for every document; labels of the held-out fold are not learned from."""
     from findoc.llm.fitting import fold
     from findoc.llm.toxicity import score_toxicity, train_toxicity
 
@@ -82,13 +89,16 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often the mix takes each document, and its ``placed``: pass:shard:position for each time."""
     from findoc.llm.mixing import mix
 
     mixed = mix(table(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"))
+    placed = F.array_join(F.transform("draws", lambda d: F.concat_ws(":", d["pass"], d["shard"], d["position"])), ",")
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"), placed.alias("placed"))
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document; languages of the held-out fold are not learned from."""
     from findoc.llm.fitting import fold
     from findoc.llm.langid import identify_language, train_language
 
@@ -98,6 +108,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License sentences in every document and the licenses that they state."""
     from findoc.llm.licenses import scan_licenses
 
     return scan_licenses(table(spark, sf_dir, "documents"))
