@@ -2,7 +2,8 @@
 
 1. Every whole text becomes token ids, ends with the end id and is cut into pieces of at most ``capacity`` ids; the
    pieces are written to the shared folder.
-2. Pieces are packed by bands of lengths, from the longest down; a band's longest piece is at most twice its shortest.
+2. Pieces are packed by bands of lengths, from the longest down; a band's longest piece is at most twice its shortest, but
+   for the last, of pieces that most gaps hold many times.
    A superstep range-sorts the band's pieces and the gaps of all open sequences by size into one order.
 3. Each range is swept from large to small: a piece takes its successor, the smallest gap so far that holds it, and what
    is left of the gap is a gap again. Pieces without a gap in their range want gaps of the ranges before; which, is settled
@@ -29,8 +30,8 @@ from findoc.llm.tokens import encoder
 
 #: Rows of a range in a superstep, about.
 RANGE = 100_000
-#: Lengths from capacity / NARROWEST down are one band.
-NARROWEST = 64
+#: Lengths up to capacity / NARROWEST are one band.
+NARROWEST = 8
 #: What a row of a sweep is: a gap that the sweep left alone, a piece without a place, a placed piece, what is left of a gap.
 GAP, PIECE, PLACED, REST = range(4)
 _SWEPT = "part int, kind int, rank long, id long, size long, sequence_id long, offset long"
@@ -234,15 +235,12 @@ def best_fit(pieces: DataFrame, capacity: int) -> DataFrame:
             step += 1
             opened = place(_swept(waiting.select(F.lit(PIECE).alias("kind"), "id", "size"), left, capacity, step))
             able = able.union(opened.where(F.col("kind") == REST).select("id", "size"))
-        if band + 1 < len(lows):
-            old, gaps = gaps, written(few(small.union(able), n_gaps + left, RANGE), "gaps")
-            n_gaps = gaps.count()
-            release(old)
+        gaps, n_gaps = small.union(able), n_gaps + left  # at most so many: a piece opens one sequence or none
     out = spark.createDataFrame([], "row long, sequence_id long, offset long")
     for part in done:
         out = out.union(part)
     out = written(few(out, sum(sizes.values()), RANGE), "placements")
-    release(*tables, gaps)
+    release(*tables)
     return out
 
 
