@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from findoc.llm.common import BATCH_ROWS, few, map_batches, release, written
 from findoc.llm.tokens import encoder
 
-#: Rows of a range in a superstep, about.
-RANGE = 100_000
+#: Rows of a range in a superstep, about; up to so many are one range.
+RANGE = 50_000
 #: Lengths up to capacity / NARROWEST are one band.
 NARROWEST = 8
 #: What a row of a sweep is: a gap that the sweep left alone, a piece without a place, a placed piece, what is left of a gap.
@@ -137,7 +137,8 @@ def _swept(rows: DataFrame, n: int, capacity: int, opening: int | None = None) -
             yield out()
 
     order = [F.col("size").desc(), F.col("kind").asc(), F.xxhash64("id").asc(), F.col("id").asc()]
-    dealt = rows.select("kind", "id", "size").repartitionByRange(1 + n // RANGE, *order).sortWithinPartitions(*order)
+    rows = rows.select("kind", "id", "size")
+    dealt = (rows.coalesce(1) if n <= RANGE else rows.repartitionByRange(1 + n // RANGE, *order)).sortWithinPartitions(*order)
     return written(dealt.mapInArrow(run, _SWEPT), "swept")
 
 
@@ -222,7 +223,8 @@ def best_fit(pieces: DataFrame, capacity: int) -> DataFrame:
             counts = [tuple(r) for r in swept.groupBy("part", "kind").agg(F.count(F.lit(1)), F.min("size"), F.max("size")).collect()]  # a few rows a range
             intervals = by_rank(counts)
             still = sum(c[2] for c in counts if c[1] == PIECE) - sum(i[2] - i[1] for i in intervals)
-            moved, left = still < left, still
+            # within one range the sweep has left nothing to move
+            moved, left = still < left and len({c[0] for c in counts}) > 1, still
             able = swept.where(F.col("kind") == REST).select("id", "size")
             if intervals:
                 settled = place(_settled(swept, intervals, left + n_gaps, capacity))
