@@ -32,13 +32,16 @@ def z_score(score: Column, window=None) -> Column:
 
 
 def reciprocal_rank(lists: list[DataFrame], k: int = 60, weights: list[float] | None = None) -> DataFrame:
-    """(query_id, chunk_id, score, first): sums of weight / (k + rank); ``first`` says in which list a chunk stands and where, for ties."""
+    """(query_id, chunk_id, score, first, scores): sums of weight / (k + rank).
+
+    ``first`` says in which list a chunk stands and where, for ties; ``scores`` maps each list's number to its score there.
+    """
     weights = [*(weights or []), *[1.0] * len(lists)][: len(lists)]
-    parts = [x.select("query_id", "chunk_id", (F.lit(float(w)) / (k + F.col("rank"))).alias("part"), F.struct(F.lit(n).alias("list"), F.col("rank")).alias("at")) for n, (x, w) in enumerate(zip(lists, weights, strict=True))]
+    parts = [x.select("query_id", "chunk_id", (F.lit(float(w)) / (k + F.col("rank"))).alias("part"), F.struct(F.lit(n).alias("list"), F.col("rank")).alias("at"), F.struct(F.lit(n).alias("list"), F.col("score").cast("double").alias("score")).alias("own")) for n, (x, w) in enumerate(zip(lists, weights, strict=True))]
     every = parts[0]
     for more in parts[1:]:
         every = every.unionByName(more)
-    return every.groupBy("query_id", "chunk_id").agg(F.sum("part").alias("score"), F.min("at").alias("first"))
+    return every.groupBy("query_id", "chunk_id").agg(F.sum("part").alias("score"), F.min("at").alias("first"), F.map_from_entries(F.collect_set("own")).alias("scores"))
 
 
 def allowed(chunks: DataFrame, ticker: str | None = None, period: str | None = None, year: int | None = None, doc_type: str | None = None, modal_type: str | None = None, statement_type: str | None = None) -> DataFrame:
@@ -61,6 +64,35 @@ def allowed(chunks: DataFrame, ticker: str | None = None, period: str | None = N
     return chunks.where(keep)
 
 
+def matching(hits: DataFrame, queries: DataFrame, metadata: DataFrame) -> DataFrame:
+    """``hits`` whose chunk passes its query's own filters (ticker, period, year, doc_type), renumbered. A null filter passes all.
+
+    ``metadata`` (chunk_id and these four) may lack a chunk; what is unknown of ticker, period and year passes, and a chunk
+    without a document passes all.
+    """
+    asked = queries.select("query_id", *[F.col(c).alias(f"_{c}") for c in ("ticker", "period", "year", "doc_type")])
+    known = metadata.select("chunk_id", "ticker", "period", "year", "doc_type")
+    rows = hits.join(asked, "query_id").join(known, "chunk_id", "left")
+    keep = F.lit(True)
+    for c in ("ticker", "period"):
+        keep &= F.col(f"_{c}").isNull() | F.col(c).isNull() | (F.col(c) == "") | (F.upper(c) == F.upper(f"_{c}"))
+    keep &= F.col("_year").isNull() | F.col("year").isNull() | (F.col("year") == F.col("_year"))
+    keep &= F.col("_doc_type").isNull() | F.col("doc_type").isNull() | (F.lower("doc_type") == F.lower("_doc_type"))
+    return renumbered(rows.where(keep).select(*hits.columns))
+
+
+STRATEGIES = ("sparse", "dense", "hybrid_rrf", "hybrid_convex")
+
+
+def resolve_strategy(explicit: str | None = None, use_rrf: bool | None = None, asked: str | None = None, configured: str = "hybrid_rrf") -> str:
+    """Which strategy holds: the explicit one, else what ``use_rrf`` says, else the query's own, else the configured one."""
+    by_flag = None if use_rrf is None else "hybrid_rrf" if use_rrf else "hybrid_convex"
+    found = explicit or by_flag or asked or configured
+    if found not in STRATEGIES:
+        raise ValueError(f"unknown strategy {found!r}")
+    return found
+
+
 def renumbered(hits: DataFrame) -> DataFrame:
     """Ranks 1, 2, ... again after rows have gone."""
     return hits.withColumn("rank", F.row_number().over(_one_query().orderBy("rank")))
@@ -83,7 +115,7 @@ def retrieve(strategy: str, sparse: DataFrame | None, dense: DataFrame | None, k
         d, s = dense.select("query_id", "chunk_id", F.col("score").alias("dense_score")), sparse.select("query_id", "chunk_id", F.col("score").alias("sparse_score"))
         if strategy == "hybrid_rrf":
             fused = reciprocal_rank([dense, sparse], rrf_k)
-            out = fused.join(d, ["query_id", "chunk_id"], "left").join(s, ["query_id", "chunk_id"], "left")
+            out = fused.withColumns({"dense_score": F.try_element_at("scores", F.lit(0)), "sparse_score": F.try_element_at("scores", F.lit(1))}).drop("scores")
         elif strategy == "hybrid_convex":
             out = d.join(s, ["query_id", "chunk_id"], "full_outer").withColumn("first", F.col("chunk_id"))
         else:

@@ -8,23 +8,27 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from findoc.functions.tokens import lexical_tokens
+from findoc.session import written
 
 IDF_FLOOR = 1e-4
 
 
 @dataclass
 class LexicalIndex:
-    """``lengths``: (chunk_id, dl) for every chunk; ``terms``: (chunk_id, dl, term) with repeats."""
+    """``lengths``: (chunk_id, dl) for every chunk; ``postings``: (chunk_id, dl, term, tf).
+
+    ``tokens``: (chunk_id, tokens) where the other two still start from texts; ``kept`` writes them once.
+    """
 
     lengths: DataFrame
-    terms: DataFrame
+    postings: DataFrame
     k1: float = 1.5
     b: float = 0.75
+    tokens: DataFrame | None = None
 
-    @property
-    def postings(self) -> DataFrame:
-        """(chunk_id, dl, term, tf)"""
-        return self.terms.groupBy("chunk_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    def kept(self) -> LexicalIndex:
+        """The index over its tokens in the shared folder, so that however often it is read no text is tokenised again."""
+        return self if self.tokens is None else _over(written(self.tokens, "tokens"), self.k1, self.b)
 
     @property
     def corpus(self) -> DataFrame:
@@ -43,17 +47,16 @@ class LexicalIndex:
 
     def statistics(self) -> DataFrame:
         """corpus_size, vocabulary_size, avg_document_length, k1, b"""
-        vocabulary = self.terms.select("term").distinct().agg(F.count(F.lit(1)).alias("vocabulary_size"))
+        vocabulary = self.postings.select("term").distinct().agg(F.count(F.lit(1)).alias("vocabulary_size"))
         both = self.corpus.crossJoin(vocabulary)  # one row each
         return both.select(F.col("n").alias("corpus_size"), "vocabulary_size", F.round("avgdl", 2).alias("avg_document_length"), F.lit(self.k1).alias("k1"), F.lit(self.b).alias("b"))
 
     def scores(self, queries: DataFrame) -> DataFrame:
         """(query_id, chunk_id, score) over all matching chunks; a query's repeated terms count as often as they come."""
-        asked = query_terms(queries)
+        asked, index = query_terms(queries), self.kept()
         # postings of terms that nobody asks for go before they are grouped
-        wanted = self.terms.join(asked.select("term").distinct(), "term", "left_semi")
-        postings = wanted.groupBy("chunk_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-        stats = self.with_idf(postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")))
+        postings = index.postings.join(asked.select("term").distinct(), "term", "left_semi")
+        stats = index.with_idf(postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")))
         weighed = asked.join(stats, "term")
         tf, dl = F.col("tf"), F.col("dl")
         weight = F.col("idf") * tf * (self.k1 + 1.0) / (tf + self.k1 * (1.0 - self.b + self.b * dl / F.col("avgdl")))
@@ -79,8 +82,15 @@ def ranked(scored: DataFrame, k: int | None, by: str = "score", tie: str = "chun
 def fit(chunks: DataFrame, k1: float = 1.5, b: float = 0.75) -> LexicalIndex:
     """Index (chunk_id, text). Null and empty texts have length 0."""
     tokens = chunks.select("chunk_id", lexical_tokens(F.col("text")).alias("tokens"))
+    index = _over(tokens, k1, b)
+    index.tokens = tokens
+    return index
+
+
+def _over(tokens: DataFrame, k1: float, b: float) -> LexicalIndex:
     sized = tokens.withColumn("dl", F.size("tokens"))
-    return LexicalIndex(sized.select("chunk_id", "dl"), sized.select("chunk_id", "dl", F.explode("tokens").alias("term")), k1, b)
+    terms = sized.select("chunk_id", "dl", F.explode("tokens").alias("term"))
+    return LexicalIndex(sized.select("chunk_id", "dl"), terms.groupBy("chunk_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf")), k1, b)
 
 
 def upsert(chunks: DataFrame, more: DataFrame, k1: float = 1.5, b: float = 0.75) -> LexicalIndex:

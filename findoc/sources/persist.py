@@ -31,10 +31,10 @@ def _read_text(spark: SparkSession, path: str) -> str:
     return "".join(r[0] for r in spark.read.text(path, wholetext=True).collect()).rstrip("\0")
 
 
-def save_index(index: LexicalIndex, chunks: DataFrame, vectors: DataFrame | None, path: str) -> dict:
-    """Write chunks, postings, lengths and vectors, each as Parquet, and last the manifest, which makes them an index."""
-    spark = chunks.sparkSession
-    tables = {"chunks": chunks, "postings": index.postings, "lengths": index.lengths} | ({"vectors": vectors} if vectors is not None else {})
+def save_index(index: LexicalIndex, chunks: DataFrame, vectors: DataFrame | None, path: str, documents: DataFrame | None = None) -> dict:
+    """Write chunks, postings, lengths, vectors and documents, each as Parquet, and last the manifest, which makes them an index."""
+    spark, index = chunks.sparkSession, index.kept()
+    tables = {"chunks": chunks, "postings": index.postings, "lengths": index.lengths} | {name: table for name, table in (("vectors", vectors), ("documents", documents)) if table is not None}
     manifest = {"version": VERSION, "k1": index.k1, "b": index.b, "saved_at": time.time(), "tables": {}}
     for name, table in tables.items():
         table.write.mode("overwrite").parquet(f"{path}/{name}")
@@ -54,8 +54,58 @@ def load_index(spark: SparkSession, path: str, verify: bool = True) -> tuple[Lex
         for name, kept in manifest["tables"].items():
             if checksum(tables[name]) != kept:
                 raise ValueError(f"table {name} of the index at {path} has changed")
-    terms = tables["postings"].select("chunk_id", "dl", F.explode(F.array_repeat("term", F.col("tf").cast("int"))).alias("term"))
-    return LexicalIndex(tables["lengths"], terms, manifest["k1"], manifest["b"]), tables["chunks"], tables.get("vectors"), manifest
+    return LexicalIndex(tables["lengths"], tables["postings"], manifest["k1"], manifest["b"]), tables["chunks"], tables.get("vectors"), manifest
+
+
+def load_documents(spark: SparkSession, path: str) -> DataFrame:
+    """The documents that were saved with an index; without any it is a ValueError."""
+    if "documents" not in json.loads(_read_text(spark, f"{path}/manifest"))["tables"]:
+        raise ValueError(f"the index at {path} holds no documents")
+    return spark.read.parquet(f"{path}/documents")
+
+
+def _store(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    return at, at.getFileSystem(conf), conf
+
+
+def archive(spark: SparkSession, path: str, target: str) -> None:
+    """All files below ``path`` in one zip file, for carrying an index elsewhere. Files stream through; none is held as a whole."""
+    (source, files, conf), (out, store, _) = _store(spark, path), _store(spark, target)
+    root = files.getFileStatus(source).getPath().toUri().getPath()
+    packed = spark._jvm.java.util.zip.ZipOutputStream(store.create(out, True))
+    found = files.listFiles(source, True)
+    while found.hasNext():
+        at = found.next().getPath()
+        packed.putNextEntry(spark._jvm.java.util.zip.ZipEntry(at.toUri().getPath()[len(root) :].lstrip("/")))
+        stream = files.open(at)
+        spark._jvm.org.apache.hadoop.io.IOUtils.copyBytes(stream, packed, conf, False)
+        stream.close()
+        packed.closeEntry()
+    packed.close()
+
+
+def unarchive(spark: SparkSession, source: str, path: str) -> None:
+    """What ``archive`` packed, below ``path`` again; names that lead out of it are a ValueError."""
+    (zipped, files, conf), (_, store, _) = _store(spark, source), _store(spark, path)
+    packed = spark._jvm.java.util.zip.ZipInputStream(files.open(zipped))
+    while (entry := packed.getNextEntry()) is not None:
+        name = entry.getName()
+        if name.startswith("/") or ".." in name.split("/"):
+            raise ValueError(f"{name!r} leads out of the archive")
+        out = store.create(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}"), True)
+        spark._jvm.org.apache.hadoop.io.IOUtils.copyBytes(packed, out, conf, False)
+        out.close()
+    packed.close()
+
+
+def rebuild(documents: DataFrame) -> tuple[LexicalIndex, DataFrame, DataFrame]:
+    """(index, chunks, vectors) of (doc_id, text), as an import makes them anew."""
+    from findoc.operators import dense, lexical, parse
+
+    chunks = parse.chunk_documents(documents).select("doc_id", "chunk_id", F.col("content").alias("text"), "modal_type")
+    return lexical.fit(chunks), chunks, dense.embed(chunks)
 
 
 def export_corpus(documents: DataFrame, path: str) -> None:
