@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from findoc.operators import caches, graph, parse, router
@@ -84,6 +83,37 @@ def kg_build(spark, sf_dir):
     return graph.from_documents(meta, metrics, chunks)[1].select("source", "target", "relation")
 
 
+#: Documents as filings: language as ticker, source as period, their length as a metric; every third one names a risk.
+_FILED = "SELECT doc_id, upper(lang) AS ticker, CAST(CASE WHEN doc_id % 5 = 0 THEN NULL ELSE 2020 + doc_id % 5 END AS INT) AS year, upper(source) AS period, n_chars, coalesce(text, '') AS content, CASE WHEN doc_id % 3 = 0 THEN 'Item 1A: Risk Factors' WHEN doc_id % 3 = 1 THEN 'Item 1: Business' END AS section_title FROM documents"
+_KG = f"""f AS ({_FILED}), k AS (SELECT *, coalesce(ticker, 'UNKNOWN') AS t, coalesce(year::VARCHAR, '2025') || '_' || coalesce(period, 'FY') AS p FROM f),
+i AS (SELECT *, 'TICKER_' || t AS tid, 'PERIOD_' || t || '_' || p AS pid, 'METRIC_' || t || '_' || p || '_Length' AS mid, 'RISK_' || doc_id AS rid, contains(lower(section_title), 'risk') AS risky FROM k)"""
+
+
+def _filed(spark, sf_dir):
+    rows = spark.sql(_FILED.replace("FROM documents", "FROM {docs}"), docs=table(spark, sf_dir, "documents"))
+    metrics = rows.select("doc_id", F.lit("Length").alias("name"), F.col("n_chars").alias("normalized"), F.lit("chars").alias("unit"), F.lit("ones").alias("scale"))
+    return graph.from_documents(rows.select("doc_id", "ticker", "year", "period"), metrics, rows.select("doc_id", F.col("doc_id").alias("chunk_id"), "section_title", "content"))
+
+
+@query("kg_document_edges", f"WITH {_KG} SELECT tid AS source, pid AS target, 'REPORTED_IN' AS relation FROM i UNION ALL SELECT pid, mid, 'HAS_METRIC' FROM i UNION ALL SELECT pid, rid, 'EXPOSED_TO_RISK' FROM i WHERE risky")
+def kg_document_edges(spark, sf_dir):
+    """The edges of every document's filing."""
+    return _filed(spark, sf_dir)[1].select("source", "target", "relation")
+
+
+@query(
+    "kg_document_nodes",
+    f"""WITH {_KG} SELECT tid AS id, 'TICKER' AS node_type, t AS label, 'ticker=' || t AS properties FROM i GROUP BY tid, t
+UNION ALL SELECT pid, 'PERIOD', t || ' ' || p, 'period=' || arg_max(coalesce(period, ''), doc_id) || ';year=' || arg_max(coalesce(year::VARCHAR, ''), doc_id) FROM i GROUP BY pid, t, p
+UNION ALL SELECT mid, 'METRIC', 'Length', 'scale=ones;unit=chars;value=' || coalesce(arg_max(coalesce(n_chars::VARCHAR, ''), doc_id), '') FROM i GROUP BY mid
+UNION ALL SELECT rid, 'RISK_FACTOR', trim(left(content, 80), ' ') || '...', 'chunk_id=' || doc_id FROM i WHERE risky""",
+)
+def kg_document_nodes(spark, sf_dir):
+    """The nodes of every document's filing, with their merged properties."""
+    shown = F.array_join(F.transform(F.array_sort(F.map_entries("properties")), lambda e: F.concat_ws("=", e["key"], e["value"])), ";")
+    return _filed(spark, sf_dir)[0].select("id", "node_type", "label", shown.alias("properties"))
+
+
 @query("kg_dot", f"WITH e AS ({_E}) SELECT '  \"' || source || '\" -> \"' || target || '\" [label=\"' || relation || '\"];' AS line FROM e")
 def kg_dot(spark, sf_dir):
     none = fx.frame(spark, [], "id string, node_type string, label string, properties map<string,string>")
@@ -111,14 +141,52 @@ def cache_replay_lru(spark, sf_dir):
     return caches.replay(requests(spark, sf_dir), 16, "lru").select("cache_id", "seq", "key", "hit")
 
 
-@query("cache_replay_lfu")
+def _replay_sql(capacity: int, policy: str, ttl_s: float | None = None, out: str = "cache_id, seq, key, hit, evicted") -> str:
+    """The same replay, request by request: the state of each cache is a list of entries."""
+    rank = {"lru": "[x.used]", "lfu": "[x.uses, x.used]", "fifo": "[x.made]"}[policy]
+    fresh = f"now - x.born <= {ttl_s}" if ttl_s is not None else "true"
+    return f"""WITH RECURSIVE numbered AS (SELECT user_id AS cache_id, event_id AS seq, event_type || '-' || hour(ts) AS key, epoch_us(ts) / 1e6 AS now, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+sim AS (
+  SELECT cache_id, 0::BIGINT AS n, NULL::BIGINT AS seq, NULL::VARCHAR AS key, false AS hit, NULL::VARCHAR AS evicted, []::STRUCT(key VARCHAR, used BIGINT, uses BIGINT, made BIGINT, born DOUBLE)[] AS e FROM (SELECT DISTINCT cache_id FROM numbered)
+  UNION ALL
+  SELECT cache_id, n, seq, key, hit, victim.key,
+    CASE WHEN hit THEN list_transform(own, lambda x: CASE WHEN x.key = mine THEN {{'key': x.key, 'used': n, 'uses': x.uses + 1, 'made': x.made, 'born': x.born}} ELSE x END)
+    ELSE list_append(list_filter(own, lambda x: victim IS NULL OR x.key <> victim.key), {{'key': key, 'used': n, 'uses': 1::BIGINT, 'made': n, 'born': now}}) END
+  FROM (SELECT *, CASE WHEN NOT hit AND len(own) >= {capacity} THEN list_reduce(own, lambda a, x: CASE WHEN {rank} < {rank.replace("x.", "a.")} THEN x ELSE a END) END AS victim
+    FROM (SELECT *, CASE WHEN NOT hit AND len(without) >= {capacity} THEN list_filter(without, lambda x: {fresh}) ELSE without END AS own
+      FROM (SELECT *, CASE WHEN hit THEN e ELSE list_filter(e, lambda x: x.key <> mine) END AS without
+        FROM (SELECT s.cache_id, r.n, r.seq, r.key, r.key AS mine, r.now, s.e, len(list_filter(s.e, lambda x: x.key = r.key AND {fresh.replace("now", "r.now")})) > 0 AS hit FROM sim s JOIN numbered r ON r.cache_id = s.cache_id AND r.n = s.n + 1))))
+)
+SELECT {out} FROM sim WHERE n > 0"""
+
+
+_REPLAYED = ("cache_id", "seq", "key", "hit", "evicted")
+
+
+@query("cache_replay_lfu", _replay_sql(16, "lfu"))
 def cache_replay_lfu(spark, sf_dir):
-    return caches.replay(requests(spark, sf_dir), 16, "lfu")
+    return caches.replay(requests(spark, sf_dir), 16, "lfu").select(*_REPLAYED)
 
 
-@query("cache_replay_fifo")
+@query("cache_replay_fifo", _replay_sql(16, "fifo"))
 def cache_replay_fifo(spark, sf_dir):
-    return caches.replay(requests(spark, sf_dir), 16, "fifo")
+    return caches.replay(requests(spark, sf_dir), 16, "fifo").select(*_REPLAYED)
+
+
+@query("cache_replay_lru_ttl", _replay_sql(12, "lru", 86400.0))
+def cache_replay_lru_ttl(spark, sf_dir):
+    """Capacity and expiry in one: expired entries go before the least recently used does."""
+    return caches.replay(requests(spark, sf_dir), 12, "lru", 86400.0).select(*_REPLAYED)
+
+
+@query("cache_replay_lfu_ttl", _replay_sql(8, "lfu", 43200.0))
+def cache_replay_lfu_ttl(spark, sf_dir):
+    return caches.replay(requests(spark, sf_dir), 8, "lfu", 43200.0).select(*_REPLAYED)
+
+
+@query("cache_replay_telemetry", f"SELECT count(*) AS requests, count(*) FILTER (hit) AS hits, count(*) FILTER (NOT hit) AS misses, round(count(*) FILTER (hit) / count(*), 4) AS hit_rate, count(*) FILTER (hit) AS exact_hits, 0::BIGINT AS semantic_hits, count(evicted) AS evictions FROM ({_replay_sql(12, 'lru', 86400.0)})")
+def cache_replay_telemetry(spark, sf_dir):
+    return caches.telemetry(caches.replay(requests(spark, sf_dir), 12, "lru", 86400.0))
 
 
 @query(
@@ -157,17 +225,17 @@ def semantic_cache_lookup(spark, sf_dir):
     return caches.lookup(v.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"), v.where("vec_id % 50 <> 0").withColumnRenamed("vec_id", "entry_id"), 0.4)
 
 
-@query("query_cache_keys", "SELECT conv_id, turn, sha256(regexp_replace(lower(trim(text)), '\\s+', ' ', 'g') || '|' || role || '||5|0.50') AS key FROM conversations WHERE text IS NOT NULL")
+@query("query_cache_keys", "SELECT conv_id, turn, sha256(regexp_replace(lower(trim(coalesce(text, ''))), '\\s+', ' ', 'g') || '|' || role || '||5|0.50') AS key FROM conversations")
 def query_cache_keys(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").where("text is not null")
+    rows = table(spark, sf_dir, "conversations").withColumn("text", F.coalesce("text", F.lit("")))
     return rows.select("conv_id", "turn", caches.query_key(F.col("text"), F.col("role"), F.lit(None)).alias("key"))
 
 
-@query("embedding_cache_misses", "SELECT DISTINCT sha256(text) AS key FROM documents WHERE text NOT IN (SELECT text FROM documents WHERE doc_id % 2 = 0 AND text IS NOT NULL)")
+@query("embedding_cache_misses", "SELECT DISTINCT sha256(coalesce(text, '')) AS key FROM documents WHERE coalesce(text, '') NOT IN (SELECT coalesce(text, '') FROM documents WHERE doc_id % 2 = 0)")
 def embedding_cache_misses(spark, sf_dir):
     """Even documents are cached; what the others need once each."""
     docs = table(spark, sf_dir, "documents")
-    return caches.embedding_misses(docs.select("text"), docs.where("doc_id % 2 = 0").select(F.sha2("text", 256).alias("key")).distinct()).select("key")
+    return caches.embedding_misses(docs.select("text"), docs.where("doc_id % 2 = 0").select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("key")).distinct()).select("key")
 
 
 @query("dedupe_last_wins", "SELECT text, max(doc_id) AS doc_id FROM documents GROUP BY text")
@@ -200,16 +268,7 @@ def filename_metadata(spark, sf_dir):
     return rows.select("filename", *[c.alias(name) for name, c in found(F.col("filename")).items()])
 
 
-@query("modality_counts", "SELECT CASE WHEN length(text) - length(replace(text, '|', '')) >= 4 OR (contains(text, '|') AND contains(text, '---')) THEN 'table' ELSE 'text' END AS modal_type, count(*) AS n FROM documents WHERE trim(text) <> '' GROUP BY ALL")
+@query("modality_counts", "SELECT CASE WHEN length(text) - length(replace(text, '|', '')) >= 4 OR (contains(text, '|') AND contains(text, '---')) THEN 'table' ELSE 'text' END AS modal_type, count(*) AS n FROM (SELECT coalesce(text, '') AS text FROM documents) GROUP BY ALL")
 def modality_counts(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("trim(text) <> ''")
+    docs = table(spark, sf_dir, "documents").select(F.coalesce("text", F.lit("")).alias("text"))
     return docs.groupBy(parse.modality(F.col("text")).alias("modal_type")).agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("section_offsets", "SELECT doc_id, line, start_at FROM (SELECT doc_id, unnest(parts) AS line, unnest(list_transform(range(0, len(parts)), lambda i: list_sum(list_transform(parts[1:i], lambda x: length(x) + 1)))) AS start_at FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents)) WHERE false UNION ALL SELECT doc_id, NULL, length(text)::BIGINT FROM documents WHERE text IS NOT NULL")
-def section_offsets(spark, sf_dir):
-    """Only where each document's last line ends, which its SQL asks for; document_line_offsets and document_section_offsets have all starts and ends."""
-    lines = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    order = Window.partitionBy("doc_id").orderBy("pos")
-    ends = lines.select("doc_id", (F.sum(F.length("line") + 1).over(order.rowsBetween(Window.unboundedPreceding, 0)) - 1).alias("start_at"), F.lead("pos").over(order).alias("next"))
-    return ends.where("next is null").select("doc_id", F.lit(None).cast("string").alias("line"), "start_at")

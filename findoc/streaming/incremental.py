@@ -54,8 +54,12 @@ def term_counts(stream: DataFrame) -> DataFrame:
     return stream.select(F.explode(lexical_tokens(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def cached_answers(requests: DataFrame, ttl_s: float) -> DataFrame:
-    """(key, ts, hit) of a stream of (key, ts): each key's entry is state that expires ``ttl_s`` after it was put."""
+def cached_answers(requests: DataFrame, ttl_s: float, late_s: float = 0) -> DataFrame:
+    """(key, ts, hit) of a stream of (key, ts): each key's entry is state that expires ``ttl_s`` after it was put.
+
+    Freshness and expiry both follow ``ts``, so a replay of old requests gives what the first run gave. Requests may come
+    ``late_s`` seconds late.
+    """
 
     def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         put = state.get[0] if state.exists else None
@@ -69,8 +73,9 @@ def cached_answers(requests: DataFrame, ttl_s: float) -> DataFrame:
             put = put if fresh else t
             hits.append(fresh)
         state.update((float(put),))
-        state.setTimeoutDuration(int(ttl_s * 1000) + 1)
+        state.setTimeoutTimestamp(max(int((put + ttl_s) * 1000) + 1, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"key": key[0], "ts": rows["ts"], "hit": hits})
 
     kind = dict(requests.dtypes)
-    return requests.groupBy("key").applyInPandasWithState(follow, f"key {kind['key']}, ts {kind['ts']}, hit boolean", "put double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = requests.withWatermark("ts", f"{late_s} seconds")
+    return timed.groupBy("key").applyInPandasWithState(follow, f"key {kind['key']}, ts {kind['ts']}, hit boolean", "put double", "append", GroupStateTimeout.EventTimeTimeout)
