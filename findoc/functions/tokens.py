@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The lexical index's patterns.
+# The lexical index's patterns. Digits are spelled out, so that Java, RE2 and Python read them alike.
 PAREN_NEGATIVE = r"\(([0-9]+(?:,[0-9]{3})*(?:\.[0-9]+)?(?:[MBKmbk%])?)\)"
 TOKEN = r"\$?-?[0-9]+(?:,[0-9]{3})*(?:\.[0-9]+)?%?(?:[a-zA-Z])?|[a-zA-Z0-9_\-]+"
 # The same without single letters, which the index leaves out.

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from findoc.functions.cleaning import stripped
 from findoc.operators.tables import first_of
 
-# Words and patterns, in order.
+# Words and patterns, in order. Digits are spelled out, so that Java, RE2 and Python read them alike.
 CHARTS = [("waterfall", ("waterfall", "bridge", "walk")), ("pie", ("pie", "donut", "doughnut")), ("bar", ("bar", "column", "histogram")), ("line", ("line", "trend", "trajectory")), ("scatter", ("scatter", "bubble")), ("area", ("area",))]
 FIGURE_SCALES = [("billions", ("billion", "$b")), ("millions", ("million", "$m")), ("thousands", ("thousand", "$k")), ("percent", ("%", "percent"))]
 FIGURE_UNITS = [("USD", ("$", "usd")), ("EUR", ("€", "eur")), ("GBP", ("£", "gbp")), ("JPY", ("¥", "jpy"))]

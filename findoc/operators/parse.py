@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from findoc.functions.cleaning import stripped
 
-# Patterns and labels of filings.
+# Patterns and labels of filings. Digits are spelled out, so that Java, RE2 and Python read them alike.
 SECTION = r"(?i)^(?:ITEM\s+[0-9A-Z]+[.\s\-:]+|NOTE\s+[0-9]+[.\s\-:]+|PART\s+[IVX]+[.\s\-:]+|MANAGEMENT'S DISCUSSION|CONSOLIDATED STATEMENTS|FINANCIAL STATEMENTS|BUSINESS OVERVIEW|RISK FACTORS|EXECUTIVE SUMMARY|OUTLOOK|HIGHLIGHTS)"
 FIGURE = r"(?i)^(?:Figure|Chart)\s*[0-9]*:"
 METRIC = r"(?i)^[A-Za-z\s]+:\s*\$?[0-9]+(?:\.[0-9]+)?%?\s*(?:million|billion|M|B)?$"

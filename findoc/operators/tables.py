@@ -139,14 +139,14 @@ def structure_issues(tables: DataFrame) -> DataFrame:
     headers, rows = F.col("table.headers"), F.col("table.rows")
     n = F.size(headers)
     issue = lambda severity, message, at=None: F.struct(F.lit(severity).alias("severity"), message.alias("message"), (F.lit(None).cast("int") if at is None else at).alias("row_idx"))
-    ragged = F.filter(F.transform(rows, lambda r, i: F.when(F.size(r) != n, issue("ERROR", F.format_string("Row %d column count (%d) does not match header count (%d).", i, F.size(r), n), i))), lambda x: x.isNotNull())
+    ragged = F.filter(F.transform(rows, lambda r, i: F.when(F.size(r) != n, issue("ERROR", F.format_string("row %d has %d cells, the header %d", i, F.size(r), n), i))), lambda x: x.isNotNull())
     empty = F.size(F.filter(rows, lambda r: F.forall(r, lambda c: stripped(c) == "")))
     others = F.array_compact(F.array(
-        F.when(n < 2, issue("WARNING", F.format_string("Table only has %d column; financial tables typically require at least label and value columns.", n))),
-        F.when(F.size(rows) == 0, issue("WARNING", F.lit("Table has no data rows."))),
-        F.when(empty > 0, issue("WARNING", F.format_string("Table has %d completely empty rows.", empty))),
+        F.when(n < 2, issue("WARNING", F.format_string("%d column: there is no value beside the label", n))),
+        F.when(F.size(rows) == 0, issue("WARNING", F.lit("no rows below the header"))),
+        F.when(empty > 0, issue("WARNING", F.format_string("%d rows are empty", empty))),
     ))
-    every = F.when(n == 0, F.array(issue("ERROR", F.lit("Table is missing headers.")))).otherwise(F.concat(others, ragged))
+    every = F.when(n == 0, F.array(issue("ERROR", F.lit("no header")))).otherwise(F.concat(others, ragged))
     return tables.select("table_id", F.explode(every).alias("i")).select("table_id", "i.severity", "i.message", "i.row_idx")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from findoc.plans import flows, grounding, misc, search, statements, text  # noqa: F401
+from findoc.plans import flows, grounding, misc, models, search, statements, text  # noqa: F401
 from findoc.plans.base import ORACLES, QUERIES
 
 FLAGSHIP = "rerank_hybrid"

@@ -151,7 +151,7 @@ _ISSUES = [
 ]
 
 
-@query("table_structure_issues", f"SELECT * FROM {fx.values_sql([(1, 'ERROR', 'Row 1 column count (1) does not match header count (2).', 1), (1, 'WARNING', 'Table has 1 completely empty rows.', None), (2, 'ERROR', 'Table is missing headers.', None), (3, 'ERROR', 'Table is missing headers.', None), (3, 'x', 'x', None), (4, 'WARNING', 'Table has no data rows.', None)], 'table_id', 'severity', 'message', 'row_idx')} WHERE severity <> 'x' AND NOT (table_id = 3) UNION ALL SELECT 3, 'WARNING', 'Table only has 1 column; financial tables typically require at least label and value columns.', NULL")
+@query("table_structure_issues", f"SELECT * FROM {fx.values_sql([(1, 'ERROR', 'row 1 has 1 cells, the header 2', 1), (1, 'WARNING', '1 rows are empty', None), (2, 'ERROR', 'no header', None), (3, 'ERROR', 'no header', None), (3, 'x', 'x', None), (4, 'WARNING', 'no rows below the header', None)], 'table_id', 'severity', 'message', 'row_idx')} WHERE severity <> 'x' AND NOT (table_id = 3) UNION ALL SELECT 3, 'WARNING', '1 column: there is no value beside the label', NULL")
 def table_structure_issues(spark, sf_dir):
     rows = fx.frame(spark, _ISSUES, "table_id int, text string").withColumn("table", tb.parse_markdown(F.col("text")))
     return tb.structure_issues(rows)

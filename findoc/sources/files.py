@@ -28,9 +28,35 @@ def read_texts(spark: SparkSession, path: str, recursive: bool = True, clean: bo
     return _described(raw.select("path", F.col("content").cast("string").alias("text")), clean)
 
 
+#: Whether a JSON object is a document that was parsed before: it has an id and chunks.
+_CHUNKED = "get_json_object(value, '$.doc_id') IS NOT NULL AND get_json_object(value, '$.chunks') IS NOT NULL"
+_DOCUMENT = "doc_id string, chunks array<struct<chunk_id:string,modal_type:string,content:string,page_number:int,section_title:string>>"
+
+
+def _json_files(spark: SparkSession, path: str, recursive: bool) -> DataFrame:
+    return spark.read.text(path, wholetext=True, recursiveFileLookup=recursive, pathGlobFilter="*.json").select(F.input_file_name().alias("path"), F.col("value"))
+
+
+def read_json_chunks(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
+    """(path, doc_id, chunk_id, modal_type, content, page_number, section_title) of the JSON documents that hold their chunks; unknown fields are dropped."""
+    rows = _json_files(spark, path, recursive).where(_CHUNKED).select("path", F.from_json("value", _DOCUMENT).alias("d"))
+    chunks = rows.select("path", "d.doc_id", F.explode("d.chunks").alias("c")).select("path", "doc_id", "c.*")
+    return chunks.withColumns({"page_number": F.greatest(F.lit(1), F.coalesce("page_number", F.lit(1))), "modal_type": F.coalesce("modal_type", F.lit("text"))})
+
+
+def read_directory(spark: SparkSession, path: str, recursive: bool = True, clean: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(documents, errors) of all supported files under ``path``: texts, JSON and PDF; a bad file is an error row (path, error) and no document."""
+    every = read_texts(spark, path, recursive, clean).unionByName(read_json(spark, path, recursive, clean))
+    pages = read_pages(spark, path, recursive)
+    every = every.unionByName(_described(join_pages(pages), clean))
+    empty = F.when(F.trim(F.coalesce("text", F.lit(""))) == "", "no text")
+    errors = pages.where("error is not null").select("path", "error").unionByName(every.select("path", empty.alias("error")).where("error is not null"))
+    return every.where(F.trim(F.coalesce("text", F.lit(""))) != ""), errors
+
+
 def read_json(spark: SparkSession, path: str, recursive: bool = True, clean: bool = True) -> DataFrame:
     """As ``read_texts``, of one JSON object a file: its content, else its text, else the object itself."""
-    raw = spark.read.text(path, wholetext=True, recursiveFileLookup=recursive, pathGlobFilter="*.json").select(F.input_file_name().alias("path"), F.col("value"))
+    raw = _json_files(spark, path, recursive).where(f"NOT ({_CHUNKED})")
     text = F.coalesce(F.get_json_object("value", "$.content"), F.get_json_object("value", "$.text"), F.get_json_object("value", "$.raw_text"), F.col("value"))
     return _described(raw.select("path", text.alias("text")), clean)
 
