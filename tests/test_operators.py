@@ -1,16 +1,18 @@
 """What the whole-table queries do not show: empty inputs, nulls, ties, errors, state."""
 
+import json
 import shutil
-import time
+import zipfile
 from collections import Counter, OrderedDict
 
 import pytest
 from pyspark.sql import functions as F
 
-from findoc.functions import cleaning, finance
+from findoc import cli, interfaces, tools
+from findoc.functions import cleaning, finance, models
 from findoc.operators import caches, dense, fusion, graph, grounding, lexical, parse, rerank, router, tables
-from findoc.plans.answers import NOTHING, Settings, answer
-from findoc.sources import files, persist
+from findoc.plans.answers import NOTHING, Settings, answer, ask
+from findoc.sources import facts, files, persist, synthetic
 from findoc.streaming import incremental
 
 
@@ -237,11 +239,155 @@ def test_cached_answers_stream(spark, tmp_path):
     rows = [("a", start), ("a", start + dt.timedelta(seconds=5)), ("a", start + dt.timedelta(seconds=30)), ("b", start)]
     spark.createDataFrame(rows, "key string, ts timestamp").coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("key string, ts timestamp").parquet(str(tmp_path / "in"))
-    # entries wait for the clock to expire, so the query goes on until it is stopped
-    out = incremental.cached_answers(stream, 10).writeStream.format("memory").queryName("cached").trigger(processingTime="1 second").start()
-    for _ in range(80):
-        if spark.table("cached").count() == 4 or not out.isActive:
-            break
-        time.sleep(0.5)
-    out.stop()
+    incremental.cached_answers(stream, 10).writeStream.format("memory").queryName("cached").trigger(availableNow=True).start().awaitTermination()
     assert sorted((r["key"], r["ts"].second, r["hit"]) for r in spark.table("cached").collect()) == [("a", 0, False), ("a", 5, True), ("a", 30, False), ("b", 0, False)]
+
+
+@pytest.mark.parametrize("policy", ["lru", "lfu", "fifo"])
+def test_expiry_capacity_and_nearest_entry_in_one(spark, policy):
+    """Entries expire before a victim is looked for; the nearest of what is fresh answers."""
+    cache = caches.Cache(2, policy, 10.0, 0.9)
+    assert cache.put("a", 0, [1.0, 0.0]) is None and cache.put("b", 5, [0.0, 1.0]) is None
+    assert cache.get("a", 9)[0] == "exact" and cache.get("x", 9, [0.1, 1.0])[::2] == ("semantic", "b")
+    assert cache.get("x", 9, [1.0, 1.0])[0] == "none"
+    assert cache.put("c", 12, [1.0, 1.0]) is None and set(cache.entries) == {"b", "c"}  # a had expired
+    assert cache.get("y", 12, [1.0, 0.05])[0] == "none"
+    gone = cache.put("d", 13)
+    assert gone == {"lru": "b", "lfu": "c", "fifo": "b"}[policy]
+    assert cache.put("d", 14) is None and cache.entries["d"][1] == 2  # in place
+    rows = spark.createDataFrame([(1, k, x, t, v) for k, (x, t, v) in enumerate([("a", 0, [1.0, 0.0]), ("a", 5, [1.0, 0.0]), ("b", 6, [1.0, 0.01]), ("a", 20, [1.0, 0.0])])], "cache_id int, seq int, key string, t int, vector array<double>")
+    got = caches.replay(rows.withColumn("ts", F.timestamp_seconds("t")), 5, policy, 10.0, 0.9).orderBy("seq").collect()
+    assert [(r["hit_type"], r["entry"]) for r in got] == [("none", None), ("exact", "a"), ("semantic", "a"), ("none", None)]
+
+
+def test_questions_behind_both_caches(spark):
+    chunks = spark.createDataFrame([(1, "Total revenue was $1,250 million in 2024.", "text"), (2, "Copper is scarce.", "text")], "chunk_id int, text string, modal_type string")
+    asked = [(1, 1, "What was total revenue?", 0), (2, 2, "what  was TOTAL revenue?", 10), (3, 3, "Is copper scarce?", 20), (4, 4, "What was total revenue?", 5000)]
+    rows = spark.createDataFrame(asked, "query_id int, seq int, text string, t int").withColumn("ts", F.timestamp_seconds("t"))
+    got = {r["query_id"]: r for r in ask(rows, chunks, Settings(top_k=1))["responses"].collect()}
+    assert [(got[k]["cache_type"], got[k]["answered_by"]) for k in (1, 2, 3, 4)] == [("none", 1), ("exact", 1), ("none", 3), ("none", 4)]
+    assert "1,250" in got[2]["text"] and got[2]["text"] == got[1]["text"]
+
+
+def test_questions_with_filters_of_their_own(spark):
+    hits = spark.createDataFrame([(1, 10, 0.9, 1), (1, 11, 0.8, 2), (1, 12, 0.7, 3), (2, 10, 0.9, 1)], "query_id int, chunk_id int, score double, rank int")
+    own = spark.createDataFrame([(1, "aapl", None, 2024, None), (2, None, None, None, "10-k")], "query_id int, ticker string, period string, year int, doc_type string")
+    meta = spark.createDataFrame([(10, "MSFT", "Q1", 2024, "10-Q"), (11, "AAPL", "Q1", None, "10-K")], "chunk_id int, ticker string, period string, year int, doc_type string")
+    assert sorted((r["query_id"], r["chunk_id"], r["rank"]) for r in fusion.matching(hits, own, meta).collect()) == [(1, 11, 1), (1, 12, 2)]
+    assert fusion.resolve_strategy(use_rrf=False, asked="dense") == "hybrid_convex" and fusion.resolve_strategy("sparse", True) == "sparse" and fusion.resolve_strategy() == "hybrid_rrf"
+    with pytest.raises(ValueError):
+        fusion.resolve_strategy("other")
+
+
+def test_own_pair_scorer(spark):
+    class Longest:
+        def predict(self, pairs):
+            return [float(len(d)) for _, d in pairs]
+
+    q = spark.createDataFrame([(1, "x")], "query_id int, text string")
+    c = spark.createDataFrame([(1, "aa", "text"), (2, "aaaa", "text"), (3, None, "text")], "chunk_id int, text string, modal_type string")
+    pool = spark.createDataFrame([(1, k, 0.5, k) for k in (1, 2, 3)], "query_id int, chunk_id int, score double, rank int")
+    got = rerank.rerank(pool, q, c, "cross_encoder", scorer=Longest()).collect()
+    assert [r["chunk_id"] for r in got] == [2, 1, 3] and got[0]["cross_encoder_score"] == 1.0
+    assert isinstance(Longest(), interfaces.PairScorer) and isinstance(dense.HashingEmbedder(), interfaces.Embedder) and isinstance(caches.Cache(1, "lru", None, None), interfaces.ResponseCache)
+    assert isinstance(lexical.fit(c), interfaces.SearchIndex)
+
+
+def test_dense_search_leaves_out_null_and_other_vectors(spark):
+    index = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [0.0, 1.0]), (4, [1.0]), (5, [None, 1.0]), (6, [1.0, 2.0, 3.0])], "chunk_id int, vector array<double>")
+    asked = spark.createDataFrame([(1, [1.0, 0.1]), (2, None), (3, [2.0])], "query_id int, vector array<double>")
+    got = sorted((r["query_id"], r["rank"], r["chunk_id"]) for r in dense.search(index, asked, 5).collect())
+    assert got == [(1, 1, 1), (1, 2, 3), (3, 1, 4)]
+    assert dense.search(index.limit(0), asked).count() == 0 and dense.search(index, asked.limit(0)).count() == 0
+
+
+def test_vectors_by_id(spark):
+    index = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "chunk_id int, vector array<double>")
+    more = spark.createDataFrame([(2, [1.0, 1.0]), (3, [0.0, 2.0])], "chunk_id int, vector array<double>")
+    assert sorted(r["chunk_id"] for r in dense.append(index, more).collect()) == [1, 2, 2, 3]
+    assert {r["chunk_id"]: r["vector"] for r in dense.upsert(index, more).collect()} == {1: [1.0, 0.0], 2: [1.0, 1.0], 3: [0.0, 2.0]}
+    pairs = spark.createDataFrame([(1, 2), (1, 9)], "a int, b int")
+    assert [tuple(r) for r in dense.similarities(dense.upsert(index, more), pairs).collect()] == [(1, 2, 0.707107)]
+
+
+def test_embeddings_are_computed_once(spark):
+    texts = spark.createDataFrame([(1, "alpha"), (2, "beta"), (3, "alpha"), (4, None)], "id int, text string")
+    cached = dense.embed(texts.where("id = 1").select(F.sha2("text", 256).alias("key"), "text"), "key")
+    seen = []
+    found, full = caches.get_or_compute(texts, cached, lambda missing: (seen.append(missing.count()), dense.embed(missing, "key"))[1])
+    assert seen == [2] and full.count() == 3
+    got = {r["id"]: r["vector"] for r in found.collect()}
+    assert got[1] == got[3] != got[2] and sum(map(abs, got[4])) == 0
+
+
+def test_short_numbers_follow_the_general_format(spark):
+    values = [0.0, 1.0, -2.5, 450.0, 1250.5, 123456.0, 123456.7, 999999.5, 1e6, 1234567.0, 0.0001, 0.00001234, 1e21, -0.1, 1 / 3]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select(models.short_number(F.col("v")).alias("s")).collect()
+    assert [r["s"] for r in rows] == [f"{v:g}" for v in values]
+
+
+def test_enriched_text_of_a_figure(spark):
+    row = spark.range(1).select(models.enriched_text(F.lit("body"), F.lit(""), F.lit("figure"), caption=F.lit("Mix"), chart=F.lit("pie"), points=F.array(F.struct(F.lit("a").alias("k"), F.lit(94.2).alias("v"))), metrics=F.array().cast("array<struct<name:string,shown:string>>")).alias("t")).first()
+    assert row["t"] == "Figure: Mix\nChart Type: pie\nData: a=94.2\nbody"
+
+
+def test_tools_over_filings(spark):
+    filings = synthetic.filings(spark, 3).withColumn("doc_type", F.lit("10-Q"))
+    one = filings.orderBy("doc_id").first()
+    chunks = parse.chunk_documents(filings.select("doc_id", "text")).select("doc_id", "chunk_id", F.col("content").alias("text"), "modal_type")
+    tool = tools.Tools(spark, filings, chunks)
+    got = tool.call("compute_financial_ratios", {"ticker": one["ticker"].lower(), "year": one["year"], "period": one["period"]})
+    assert got["gross_margin_pct"] > 0 and not got["synthetic"]
+    assert tool.call("compare_filing_periods", {"ticker": "NONE"})["synthetic"] and tool.call("compare_filing_periods", {"ticker": "NONE"})["variances"]
+    assert tool.call("query_financial_filings", {"query": "What is total revenue?", "ticker": one["ticker"], "top_k": 1})["citations"]
+    assert tool.call("audit_factual_grounding", {"claims": ["Total revenue"]})["total_claims"] > 0
+    assert json.loads(tools.respond(tool, '{"id": 1, "method": "tools/list"}'))["result"]["tools"][0]["name"] == "query_financial_filings"
+    assert "error" in json.loads(tools.respond(tool, '{"id": 2, "method": "tools/call", "params": {"name": "none"}}')) and tools.respond(tool, '{"method": "x"}') is None
+    assert json.loads(tools.respond(tool, "{"))["error"]["code"] == -32700 and json.loads(tools.respond(tool, '{"id": 3, "method": "x"}'))["error"]["code"] == -32601
+
+
+def test_facts_are_fetched_or_fall_back(spark):
+    asked = spark.createDataFrame([("AAPL", 2025, "Q3"), ("ZZZ", 2025, "Q3")], "ticker string, year int, period string")
+
+    def fetch(number):
+        if number == "0000320193":
+            return '{"entityName": "A", "facts": {}}'
+        raise OSError("no network")
+
+    got = {r["ticker"]: r["source"] for r in facts.company_facts(asked, fetch, 0.0).collect()}
+    assert got == {"AAPL": "fetched", "ZZZ": "fallback"}
+
+
+def test_directories_archives_and_parsed_documents(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("Revenue was 5 million.")
+    (tmp_path / "in" / "blank.txt").write_text(" ")
+    (tmp_path / "in" / "b.json").write_text('{"content": "hello"}')
+    (tmp_path / "in" / "d.json").write_text('{"doc_id": "d", "chunks": [{"chunk_id": "d_0", "content": "x", "page_number": 0, "other": 1}]}')
+    (tmp_path / "in" / "bad.pdf").write_bytes(b"no pdf")
+    documents, errors = files.read_directory(spark, str(tmp_path / "in"))
+    assert sorted(r["doc_id"] for r in documents.collect()) == ["a", "b"] and errors.count() == 2
+    assert [(r["doc_id"], r["chunk_id"], r["page_number"], r["modal_type"]) for r in files.read_json_chunks(spark, str(tmp_path / "in")).collect()] == [("d", "d_0", 1, "text")]
+    index, chunks, vectors = persist.rebuild(documents.select("doc_id", "text"))
+    persist.save_index(index, chunks, vectors, str(tmp_path / "i"), documents)
+    persist.archive(spark, str(tmp_path / "i"), str(tmp_path / "i.zip"))
+    persist.unarchive(spark, str(tmp_path / "i.zip"), str(tmp_path / "again"))
+    loaded, *_ = persist.load_index(spark, str(tmp_path / "again"))
+    assert loaded.term_stats.count() == index.term_stats.count() and persist.load_documents(spark, str(tmp_path / "again")).count() == 2
+    with zipfile.ZipFile(tmp_path / "bad.zip", "w") as z:
+        z.writestr("../x", "y")
+    with pytest.raises(ValueError):
+        persist.unarchive(spark, str(tmp_path / "bad.zip"), str(tmp_path / "out"))
+
+
+def test_flagged_numbers_are_rows_and_their_array_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(grounding, "MOST_FLAGGED", 2)
+    audited = spark.createDataFrame([(1, 2, 1, 0, 1, ["9", "1"], 0.5, "FAIL"), (2, 1, 1, 0, 0, ["5", "9"], 0.5, "FAIL")], "query_id int, total_claims long, supported_claims long, partially_supported long, unsupported_claims long, unsupported_numbers array<string>, confidence double, status string")
+    assert grounding.audit_batch(audited).first()["flagged_numbers"] == ["1", "5"] and grounding.flagged_numbers(audited).count() == 3
+
+
+@pytest.mark.parametrize("arguments", [["list"], ["benchmark"], ["info", "{in}"], ["audit", "{in}", "What was revenue?"], ["query", "What was revenue?", "{in}", "--ticker", "AAPL", "--explain"], ["compare", "{in}", "{in}"], ["ratios", "{in}"], ["ingest", "{in}"]])
+def test_command_line(spark, tmp_path, capfd, arguments):
+    (tmp_path / "AAPL_10Q_2025_Q3.txt").write_text("**Table: Income (in millions)**\n| Item | 2025 |\n| --- | --- |\n| Total Revenue | $1,250 |\n| Gross Profit | $520 |\n\nTotal revenue was $1,250 million.")
+    cli.main([a.replace("{in}", str(tmp_path)) for a in arguments])
+    assert len(capfd.readouterr().out) > 50
