@@ -46,10 +46,11 @@ def modality(p: Column) -> Column:
 
 
 def chunk_documents(docs: DataFrame, size: int = 500, overlap: int = 100) -> DataFrame:
-    """(doc_id, text) to chunks: doc_id, chunk_id, seq, modal_type, content, section_title, token_count, start_idx.
+    """(doc_id, text) to chunks: doc_id, chunk_id, seq, modal_type, content, section_title, token_count, start_idx, metrics.
 
     A section header holds for what follows it. Narrative of more than ``size`` words is cut into windows of that size
-    that overlap; start_idx is the first word's number there, null elsewhere.
+    that overlap; start_idx is the first word's number there, null elsewhere. ``metrics`` are the (name, raw) amounts of
+    running text, in each window those that it holds, and of a line that is a metric; tables have theirs in their cells.
     """
     order = Window.partitionBy("doc_id").orderBy("pos")
     head = stripped(F.element_at(F.split("p", "\n"), 1))
@@ -64,10 +65,28 @@ def chunk_documents(docs: DataFrame, size: int = 500, overlap: int = 100) -> Dat
     cut = cut.withColumn("seq", F.row_number().over(Window.partitionBy("doc_id").orderBy("pos", "start")) - 1)
     return cut.select(
         "doc_id", F.concat(F.col("doc_id").cast("string"), F.lit("_chunk_"), F.col("seq").cast("string")).alias("chunk_id"), "seq", "modal_type", "content", "section_title",
-        F.floor(F.col("count") * 1.3).alias("token_count"), F.when(F.col("long"), F.col("start")).alias("start_idx"),
+        F.floor(F.col("count") * 1.3).alias("token_count"), F.when(F.col("long"), F.col("start")).alias("start_idx"), _chunk_metrics().alias("metrics"),
     )
 
 
+def _chunk_metrics() -> Column:
+    """Of rows with the paragraph p, its modality and the chunk's content."""
+    pair = lambda name, raw: F.struct(stripped(name).alias("name"), stripped(raw).alias("raw"))
+    own = F.filter(inline_metrics(F.col("p")), lambda m: F.contains(F.col("content"), m["raw"]))
+    line = F.array(pair(F.regexp_extract("p", r"^([^:]*):", 1), F.regexp_extract("p", r"(?s)^[^:]*:(.*)$", 1)))
+    none = F.array().cast("array<struct<name:string,raw:string>>")
+    return F.when(F.col("modal_type") == "text", own).when(F.col("modal_type") == "metric", line).otherwise(none)
+
+
+def document_metrics(chunks: DataFrame, tables: DataFrame) -> DataFrame:
+    """(doc_id, chunk_id, name, raw): the metrics of all chunks and of all tables' cells, each once. ``tables``: (doc_id, table_id, table)."""
+    from findoc.operators.tables import metrics
+
+    of_chunks = chunks.select("doc_id", "chunk_id", F.explode("metrics").alias("m")).select("doc_id", F.col("chunk_id").cast("string").alias("chunk_id"), "m.name", "m.raw")
+    of_tables = metrics(tables.select("table_id", "table")).join(tables.select("table_id", "doc_id"), "table_id")
+    return of_chunks.unionByName(of_tables.select("doc_id", F.col("table_id").cast("string").alias("chunk_id"), "name", "raw"))
+
+
 def _cut_sections(docs: DataFrame) -> DataFrame:
     """The columns of ``docs``, any (whether the text has filing items), pos, part (as the text has it), content and label."""
     names = "|".join(pattern for pattern, _ in ITEMS)

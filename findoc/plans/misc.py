@@ -34,9 +34,9 @@ def route_questions(spark, sf_dir):
     return rows.select("query_id", *[c.alias(name) for name, c in router.route(F.col("text")).items()])
 
 
-@query("route_user_turns", _route_sql("(SELECT conv_id * 1000 + turn AS query_id, regexp_replace(text, '[^\\x00-\\x7F]', '', 'g') AS text FROM conversations WHERE role = 'user')"))
+@query("route_user_turns", _route_sql("(SELECT conv_id * 1000 + turn AS query_id, text FROM conversations WHERE role = 'user')"))
 def route_user_turns(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.regexp_replace("text", "[^\\x00-\\x7F]", "").alias("text"))
+    rows = table(spark, sf_dir, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "text")
     return rows.select("query_id", *[c.alias(name) for name, c in router.route(F.col("text")).items()])
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from findoc.functions import cleaning, finance
 from findoc.functions.tokens import NUMBER, numbers
 from findoc.operators import figures, parse
+from findoc.operators import tables as tb
 from findoc.plans import fixtures as fx
 from findoc.plans.base import query, table
 
@@ -173,6 +174,28 @@ def sliding_word_chunks(spark, sf_dir):
     return parse.chunk_documents(table(spark, sf_dir, "documents")).select(*_CHUNK)
 
 
+def _chunk_metrics_sql(source: str) -> str:
+    return _chunks_sql(source).rsplit("SELECT doc_id, doc_id ||", 1)[0].rstrip() + rf""",
+c AS (SELECT doc_id || '_chunk_' || seq AS chunk_id, doc_id, p, modal_type, CASE WHEN long THEN array_to_string(w[start + 1:start + 500], ' ') ELSE p END AS content FROM t),
+f AS (SELECT chunk_id, doc_id, content, unnest(list_zip(regexp_extract_all(p, '{parse.INLINE}', 1), regexp_extract_all(p, '{parse.INLINE}', 2))) AS z FROM c WHERE modal_type = 'text'),
+g AS (SELECT chunk_id, doc_id, content, regexp_replace(z[1], '{_STRIP}', '', 'g') AS name, regexp_replace(z[2], '{_STRIP}', '', 'g') AS raw FROM f)
+SELECT doc_id, chunk_id, name, raw FROM g WHERE regexp_matches(lower(name), '{"|".join(parse.INLINE_TERMS)}') AND contains(content, raw)
+UNION ALL SELECT doc_id, chunk_id, regexp_replace(string_split(p, ':')[1], '{_STRIP}', '', 'g'), regexp_replace(substr(p, strpos(p, ':') + 1), '{_STRIP}', '', 'g') FROM c WHERE modal_type = 'metric'"""
+
+
+#: Every document, and again with amounts in its text and a line that is one.
+_WITH_AMOUNTS = "SELECT doc_id, text FROM {docs} UNION ALL SELECT -doc_id, concat('Total revenue was $1,250 million and the margin reached 41.6%. ', text, '. Net income of 45 million.', chr(10), chr(10), 'Cash: $', CAST(doc_id AS STRING)) AS text FROM {docs} WHERE text IS NOT NULL AND doc_id > 0"
+
+
+@query("chunk_metrics", f"WITH {_chunk_metrics_sql('(' + _WITH_AMOUNTS.format(docs='documents').replace('STRING', 'VARCHAR') + ')')}")
+def chunk_metrics(spark, sf_dir):
+    """Amounts in the running text of all documents, window by window, and in metric lines."""
+    docs = spark.sql(_WITH_AMOUNTS, docs=table(spark, sf_dir, "documents"))
+    none = fx.frame(spark, [], "doc_id bigint, text string")
+    no_tables = tb.extract_tables(none).withColumn("table_id", F.concat_ws("_", F.col("doc_id").cast("string"), F.col("number").cast("string")))
+    return parse.document_metrics(parse.chunk_documents(docs), no_tables)
+
+
 _ITEM = "|".join(p for p, _ in parse.ITEMS).replace("'", "''")
 _LABELS = " ".join(rf"WHEN regexp_matches(c, '(?i)^item\s+{p.replace(chr(39), chr(39) * 2)}\b') THEN '{name}'" for p, name in parse.ITEMS)
 

@@ -31,7 +31,7 @@ def index_stream(stream: DataFrame, path: str, checkpoint: str, available_now: b
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        chunks = chunk_documents(batch, size, overlap)
+        chunks = chunk_documents(batch, size, overlap).drop("metrics")
         chunks.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/chunks/batch={number}")
         window, step = F.col("start_idx").isNotNull(), size - overlap
         own = F.when(window, F.array_join(F.slice(words(F.col("content")), 1, step), " ")).otherwise(F.col("content"))
