@@ -233,14 +233,19 @@ def _counts(x: str, y: str, percent: int) -> Column:
 
 
 def _star_pairs(live: DataFrame, percent: int) -> DataFrame:
-    """(x, y) of s1 that share enough: each member with the head of its part of a list, and these with the head of the list; the best two a member."""
+    """(x, y) of s1: each member with the heads of its parts of lists, the best two of those that share enough with it.
+
+    The heads of a list's parts, one for some PART members, are paired with the list's head as they are: without that a group
+    that fills several parts would fall apart and meet again member by member.
+    """
     near = live.where("s1 <> h.s1").where(_counts("", "h.", percent)).select(F.col("s1").alias("x"), F.col("h.s1").alias("y"), F.least("l", "h.l").alias("l"))
+    shared = near.groupBy("x", "y").agg(F.count(F.lit(1)).alias("shared"), F.max("l").alias("l")).where("shared >= l")
+    best = shared.groupBy("x").agg(F.max(F.struct("shared", "y")).alias("one"), F.max_by("y", F.struct(F.col("shared") >= 3, "y")).alias("two"))
+    best = best.select("x", F.explode(F.array_distinct(F.array("one.y", "two"))).alias("y"))
     parted = live.where("salt > 0").groupBy("token", "salt").agg(F.max("h").alias("h"))
     tops = parted.groupBy("token").agg(F.max("h").alias("t"))
-    across = parted.join(tops, "token").where("h.s1 <> t.s1").where(_counts("h.", "t.", percent)).select(F.col("h.s1").alias("x"), F.col("t.s1").alias("y"), F.least("h.l", "t.l").alias("l"))
-    shared = near.union(across).groupBy("x", "y").agg(F.count(F.lit(1)).alias("shared"), F.max("l").alias("l")).where("shared >= l")
-    best = shared.groupBy("x").agg(F.max(F.struct("shared", "y")).alias("one"), F.max_by("y", F.struct(F.col("shared") >= 3, "y")).alias("two"))
-    return best.select("x", F.explode(F.array_distinct(F.array("one.y", "two"))).alias("y"))
+    across = parted.join(tops, "token").where("h.s1 <> t.s1").select(F.col("h.s1").alias("x"), F.col("t.s1").alias("y"))
+    return best.union(across).distinct()
 
 
 def _mixed_lists(named: DataFrame) -> DataFrame:
