@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from findoc.llm.common import release, written
 
 #: Vectors of a block and of a bucket; queries of a block, and blocks of queries in a tile.
-BLOCK, BUCKET, QUERIES, SLICE = 8192, 512, 512, 16
+BLOCK, BUCKET, QUERIES, SLICE = 8192, 512, 128, 64
 #: Local cosine thresholds from here on prune by coordinates, lower ones by length.
 BY_COORDINATE = 0.6
 #: Coordinates that the pruning looks at: those in which a query is largest.
@@ -298,7 +298,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0
     blocks = _pack(sized.repartitionByRange(parts, F.col("norm").desc(), F.xxhash64("id")), BLOCK)
     blocks = written(blocks.withColumn("key", F.monotonically_increasing_id()), "vector-blocks")
     asking = sized.where(is_query).select("id", "v")
-    queries = _pack(asking.dropDuplicates(["id", "v"]).coalesce(1 + asking.count() // (4 * QUERIES)), QUERIES)
+    queries = _pack(asking.dropDuplicates(["id", "v"]).coalesce(1 + asking.count() // (16 * QUERIES)), QUERIES)
 
     def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
