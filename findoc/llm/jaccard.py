@@ -34,7 +34,7 @@ from findoc.llm.shingles import mixed, shingles
 BITS = 21
 COUNTERS, CHUNK = 1 << BITS, 1 << 13
 #: The most matches that a prefix asks for, and what a verification costs in postings.
-MOST_MATCHES, VERIFY = 4, 50
+MOST_MATCHES, VERIFY = 4, 10
 #: Signatures that a task remembers, so that copies count once; forgetting them costs work, never a result.
 REMEMBERED = 1 << 16
 #: A shingle's list is dealt into salted parts of about this many rows, or 1 / 512 of all documents.
@@ -173,7 +173,9 @@ def postings(docs: DataFrame, counts: np.ndarray, width: int, percent: int, n_do
                     order = sure[np.lexsort((tokens[sure], count[sure]))]
                 order = order[:take]
                 rare = np.maximum(count[order].astype(np.float64) - noise, 0)
-                l = choose_matches(np.maximum(count[order] - common, 0), base, min(most, least, take - base + 1), n_docs)
+                # what a pair of equal sizes reads, which is what most candidates are
+                equal = n - -(-2 * percent * n // (100 + percent)) + 1
+                l = choose_matches(np.maximum(count[order] - common, 0), equal, min(most, least, take - base + 1), n_docs)
                 order, rare = order[: base + l - 1], rare[: base + l - 1]
                 parts = np.ceil(rare / part).astype(np.int64)
                 token.append(tokens[order].view(np.int64))
