@@ -345,8 +345,8 @@ def test_prefixes_lengthen_where_candidates_are_many():
 def test_multi_match_prefixes_find_what_all_pairs_find(spark):
     """Texts of a small vocabulary of phrases share many shingles without linking: most prefixes ask for several matches."""
     rng = random.Random(4)
-    phrases = [words(rng, 14) for _ in range(40)]
-    texts = [" ".join(rng.choice(phrases) for _ in range(rng.randrange(3, 9))) for _ in range(260)]
+    phrases = [words(rng, 30) for _ in range(30)]
+    texts = [" ".join(rng.choice(phrases) for _ in range(rng.randrange(6, 10))) for _ in range(300)]
     texts += [mutated(rng, t, 1) for t in texts[:60]]
     df = docs(spark, texts)
     counts = jaccard.sketch(jaccard.describe(df.select("doc_id", "text"), 5))
