@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,8 @@ SECTION = r"(?i)^(?:ITEM\s+[0-9A-Z]+[.\s\-:]+|NOTE\s+[0-9]+[.\s\-:]+|PART\s+[IVX
 FIGURE = r"(?i)^(?:Figure|Chart)\s*[0-9]*:"
 METRIC = r"(?i)^[A-Za-z\s]+:\s*\$?[0-9]+(?:\.[0-9]+)?%?\s*(?:million|billion|M|B)?$"
 INLINE = r"(?i)\b([A-Za-z\s]{3,30}?)\s*(?:was|is|reached|of|amounted to|increased to|decreased to)?\s*(\$?[0-9]+(?:,[0-9]{3})*(?:\.[0-9]+)?\s*(?:billion|million|thousand|B|M|K|%)?)\b"
+# A run of letters and blanks without a digit before it or a number after it is in no match: its first and last characters do.
+NO_INLINE = r"(?<![A-Za-z\s0-9])([A-Za-z\s])[A-Za-z\s]++(?<=([A-Za-z\s]))(?!\$?[0-9])"
 INLINE_TERMS = ("revenue", "sales", "income", "profit", "margin", "eps", "cash", "flow", "expense", "ebitda", "debt", "equity", "capex")
 ITEMS = [
     (r"1\.\s+business", "Item 1: Business"),
@@ -36,7 +40,8 @@ def words(text: Column) -> Column:
 def paragraphs(docs: DataFrame) -> DataFrame:
     """(doc_id, pos, p): parts between blank lines, trimmed, empty ones left out."""
     split = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n\n")).alias("pos", "p"))
-    return split.select("doc_id", "pos", stripped(F.col("p")).alias("p")).where("p <> ''")
+    # one pass, whatever runs of blanks the text holds
+    return split.select("doc_id", "pos", F.btrim("p", F.lit(" \t\n\x0b\f\r")).alias("p")).where("p <> ''")
 
 
 def modality(p: Column) -> Column:
@@ -54,28 +59,35 @@ def chunk_documents(docs: DataFrame, size: int = 500, overlap: int = 100) -> Dat
     """
     order = Window.partitionBy("doc_id").orderBy("pos")
     head = stripped(F.element_at(F.split("p", "\n"), 1))
-    marked = paragraphs(docs).withColumns({"modal_type": modality(F.col("p")), "own": F.when(head.rlike(SECTION), F.regexp_replace(head, ":+$", ""))})
+    # dealt before the work on texts: a table may come as a single file
+    marked = paragraphs(docs.select("doc_id", "text").repartition("doc_id")).withColumns({"modal_type": modality(F.col("p")), "own": F.when(head.rlike(SECTION), F.regexp_replace(head, ":+$", ""))})
     marked = marked.withColumn("section_title", F.last("own", True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    n = F.size(words(F.col("p")))
-    long = (F.col("modal_type") == "text") & (n > size)
-    starts = F.when(long, F.sequence(F.lit(0), n - 1, F.lit(size - overlap))).otherwise(F.array(F.lit(0)))
-    cut = marked.withColumns({"n": n, "long": long}).select("*", F.explode(starts).alias("start"))
-    window = F.slice(words(F.col("p")), F.col("start") + 1, F.lit(size))
-    cut = cut.withColumns({"content": F.when(F.col("long"), F.array_join(window, " ")).otherwise(F.col("p")), "count": F.when(F.col("long"), F.least(F.col("n") - F.col("start"), F.lit(size))).otherwise(F.col("n"))})
+    # amounts are looked for once a paragraph, not once a window; nothing but the windows goes on from here
+    marked = marked.withColumn("amounts", F.when(F.col("modal_type") == "text", inline_metrics(F.col("p"))))
+    line = F.when(F.col("modal_type") == "metric", F.array(F.struct(stripped(F.regexp_extract("p", r"^([^:]*):", 1)).alias("name"), stripped(F.regexp_extract("p", r"(?s)^[^:]*:(.*)$", 1)).alias("raw"))))
+    cut = marked.withColumn("line", line).select("doc_id", "pos", "modal_type", "section_title", "amounts", "line", F.inline(_windows(size, overlap)))
+    own = F.filter("amounts", lambda m: F.contains(F.col("content"), m["raw"]))
+    none = F.array().cast("array<struct<name:string,raw:string>>")
+    cut = cut.withColumn("metrics", F.coalesce(own, "line", none)).drop("amounts", "line")
     cut = cut.withColumn("seq", F.row_number().over(Window.partitionBy("doc_id").orderBy("pos", "start")) - 1)
     return cut.select(
         "doc_id", F.concat(F.col("doc_id").cast("string"), F.lit("_chunk_"), F.col("seq").cast("string")).alias("chunk_id"), "seq", "modal_type", "content", "section_title",
-        F.floor(F.col("count") * 1.3).alias("token_count"), F.when(F.col("long"), F.col("start")).alias("start_idx"), _chunk_metrics().alias("metrics"),
+        F.floor(F.col("count") * 1.3).alias("token_count"), "start_idx", "metrics",
     )
 
 
-def _chunk_metrics() -> Column:
-    """Of rows with the paragraph p, its modality and the chunk's content."""
-    pair = lambda name, raw: F.struct(stripped(name).alias("name"), stripped(raw).alias("raw"))
-    own = F.filter(inline_metrics(F.col("p")), lambda m: F.contains(F.col("content"), m["raw"]))
-    line = F.array(pair(F.regexp_extract("p", r"^([^:]*):", 1), F.regexp_extract("p", r"(?s)^[^:]*:(.*)$", 1)))
-    none = F.array().cast("array<struct<name:string,raw:string>>")
-    return F.when(F.col("modal_type") == "text", own).when(F.col("modal_type") == "metric", line).otherwise(none)
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often ``body`` names it, inside of lambdas too."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _windows(size: int, overlap: int) -> Column:
+    """array<struct<start, count, content, start_idx>> of rows with the paragraph p and its modality."""
+    whole = lambda w: F.array(F.struct(F.lit(0).alias("start"), F.size(w).alias("count"), F.col("p").alias("content"), F.lit(None).cast("int").alias("start_idx")))
+    part = lambda w, at: F.struct(at.alias("start"), F.least(F.size(w) - at, F.lit(size)).alias("count"), F.array_join(F.slice(w, at + 1, F.lit(size)), " ").alias("content"), at.alias("start_idx"))
+    parts = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - 1, F.lit(size - overlap)), lambda at: part(w, at))
+    # a trimmed paragraph has no empty words
+    return _let(F.split("p", r"\s+"), lambda w: F.when((F.col("modal_type") == "text") & (F.size(w) > size), parts(w)).otherwise(whole(w)))
 
 
 def document_metrics(chunks: DataFrame, tables: DataFrame) -> DataFrame:
@@ -148,11 +160,15 @@ def pack_sections(docs: DataFrame, most: int = 500) -> DataFrame:
 
 
 def inline_metrics(text: Column) -> Column:
-    """array<struct<name, raw>> of amounts in running text whose label holds a financial term."""
-    found = F.arrays_zip(F.regexp_extract_all(text, F.lit(INLINE), F.lit(1)).alias("name"), F.regexp_extract_all(text, F.lit(INLINE), F.lit(2)).alias("raw"))
+    """array<struct<name, raw>> of amounts in running text whose label holds a financial term.
+
+    The pattern goes over the text without what no match can touch, so its steps go with the numbers, not with the words.
+    """
+    found = _let(F.regexp_replace(text, NO_INLINE, "$1$2"), lambda t: F.arrays_zip(F.regexp_extract_all(t, F.lit(INLINE), F.lit(1)).alias("name"), F.regexp_extract_all(t, F.lit(INLINE), F.lit(2)).alias("raw")))
     found = F.transform(found, lambda m: F.struct(stripped(m["name"]).alias("name"), stripped(m["raw"]).alias("raw")))
     terms = F.array(*map(F.lit, INLINE_TERMS))
-    return F.filter(found, lambda m: F.exists(terms, lambda t: F.contains(F.lower(m["name"]), t)))
+    named = F.filter(found, lambda m: _let(F.lower(m["name"]), lambda low: F.exists(terms, lambda t: F.contains(low, t))))
+    return F.when(text.rlike("[0-9]"), named).otherwise(F.array().cast("array<struct<name:string,raw:string>>"))
 
 
 def detect_metadata(text: Column) -> dict[str, Column]:

@@ -1,7 +1,9 @@
 """What the whole-table queries do not show: empty inputs, nulls, ties, errors, state."""
 
 import json
+import random
 import shutil
+import time
 import zipfile
 from collections import Counter, OrderedDict
 
@@ -102,6 +104,24 @@ def test_chunks_of_odd_documents(spark):
     assert [(r["doc_id"], r["start_idx"], r["token_count"]) for r in got] == [(3, 0, 650), (3, 400, 650), (3, 800, 131)]
 
 
+def test_amounts_are_looked_for_once_a_paragraph(spark):
+    text = "Net income of 45 million. " + "some words that go on " * 20_000 + ". Cash was $7"
+    began = time.perf_counter()
+    got = parse.chunk_documents(spark.createDataFrame([(1, text)], "doc_id int, text string")).select("seq", F.explode("metrics").alias("m")).select("seq", "m.*").orderBy("seq").collect()
+    assert time.perf_counter() - began < 20
+    assert [tuple(r) for r in got] == [(0, "Net income", "45 million"), (249, "Cash", "$7"), (250, "Cash", "$7")]
+
+
+def test_shortened_text_has_the_same_amounts(spark):
+    draw = random.Random(5)
+    parts = ["revenue", "Net income", "cash flow ", " was ", "of", "a", "é", "ß", "x_", "_", "$", "$5", "1,250", "41.6", "7", "%", " million", "million", "B", "k ", " ", "  ", "\n", "\t", ".", ", ", "-", "(", "1,2", "$$", "debt debt debt debt debt debt debt", "\u2028"]
+    rows = spark.createDataFrame([("".join(draw.choices(parts, k=draw.randint(0, 14))),) for _ in range(20_000)], "text string")
+    both = lambda t: F.arrays_zip(F.regexp_extract_all(t, F.lit(parse.INLINE), F.lit(1)).alias("name"), F.regexp_extract_all(t, F.lit(parse.INLINE), F.lit(2)).alias("raw"))
+    whole, short = both(F.col("text")), both(F.regexp_replace("text", parse.NO_INLINE, "$1$2"))
+    assert rows.where(F.size(whole) > 0).count() > 3_000
+    assert [r["text"] for r in rows.where(F.to_json(whole) != F.to_json(short)).limit(3).collect()] == []
+
+
 def test_offsets_cut_the_text_back(spark):
     texts = {1: "Cover\n\nItem 1. Business\nWe make \x01 sensors.\nITEM 7A. Quantitative and Qualitative Disclosures\nNone.", 2: "one\n\nthree é😀\n", 3: "", 4: "Item 2. Properties", 5: None}
     df = spark.createDataFrame(list(texts.items()) + [(2, texts[2])], "doc_id int, text string")
